@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import core_dealt
+from strandline.plans import core_dealt, posterior_queries, study_queries
 
-MODULES = [core_dealt]
+MODULES = [core_dealt, study_queries, posterior_queries]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def all_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return core_dealt.p5_found(spark, d)
+    return study_queries.QUERIES["flagship"](spark, d)

@@ -25,7 +25,7 @@ def _norm(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return f"{float(v):.5e}" if float(v) else "0"
+        return f"{float(v):.9e}" if float(v) else "0"
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return str(v)
