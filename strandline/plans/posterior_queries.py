@@ -162,9 +162,9 @@ def a25_largest_weight(t):
     return P.bayes_factors(t.edge, ["tgt", "src"], 1.0, 4.0).where("bf < double('Infinity')").agg(F.round(F.max("bf"), 6).alias("largest"))
 
 
-@query("select chain, cid, count(*) size, array_to_string(list_sort(list(distinct cast(item as varchar))), ',') members from assign where gibbs = 5 group by 1, 2")
+@query("select chain, cid, count(*) size, array_to_string(list_sort(list(distinct cast(item as varchar))), ',') members from assign group by 1, 2")
 def a26_members(t):
-    return t.assign.where("gibbs = 5").groupBy("chain", "cid").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_set(F.col("item").cast("string"))), ",").alias("members"))
+    return t.assign.groupBy("chain", "cid").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_set(F.col("item").cast("string"))), ",").alias("members"))
 
 
 _MOM = "m as (select chain, idx, count(*) n, avg(value) m, var_samp(value) s2 from growth group by 1, 2), g as (select idx, min(n)::double n, count(*)::double k, avg(s2) w, var_samp(m) vm, avg(m) xb, var_pop(s2) vs, covar_samp(s2, m * m) c2, covar_samp(s2, m) c1 from m group by 1), b as (select *, n * vm b from g), vv as (select *, (n-1)/n*w + b/n + b/(n*k) v, pow((n-1)/n, 2)/k*vs + pow((k+1)/(k*n), 2)*(2/(k-1))*b*b + 2*(k+1)*(n-1)/(k*k*n)*(c2 - 2*xb*c1) var_v from b)"
@@ -212,16 +212,16 @@ def w5_rolling_acceptance(t):
     return Q.rolling_acceptance(rows, ["chain", "var"], "gibbs", "cell", 50).select("chain", "var", "gibbs", F.round("rate", 6).alias("rate"))
 
 
-@query(", rep as (select chain, gibbs, cid, min(item) rep from assign where gibbs < 40 group by 1, 2, 3) select e.chain, e.gibbs, t.cid tgt_cid, s.cid src_cid, round(e.value, 6) as value from edge e join rep t on t.chain = e.chain and t.gibbs = e.gibbs and t.rep = e.tgt join rep s on s.chain = e.chain and s.gibbs = e.gibbs and s.rep = e.src where t.cid <> s.cid")
+@query(", rep as (select chain, gibbs, cid, min(item) rep from assign group by 1, 2, 3) select e.chain, e.gibbs, t.cid tgt_cid, s.cid src_cid, round(e.value, 6) as value from edge e join rep t on t.chain = e.chain and t.gibbs = e.gibbs and t.rep = e.tgt join rep s on s.chain = e.chain and s.gibbs = e.gibbs and s.rep = e.src where t.cid <> s.cid")
 def a38_condense(t):
-    rep = t.assign.where("gibbs < 40").groupBy("chain", "gibbs", "cid").agg(F.min("item").alias("rep"))
+    rep = t.assign.groupBy("chain", "gibbs", "cid").agg(F.min("item").alias("rep"))
     a, b = rep.select("chain", "gibbs", F.col("rep").alias("tgt"), F.col("cid").alias("tgt_cid")), rep.select("chain", "gibbs", F.col("rep").alias("src"), F.col("cid").alias("src_cid"))
     return t.edge.join(a, ["chain", "gibbs", "tgt"]).join(b, ["chain", "gibbs", "src"]).where("tgt_cid <> src_cid").select("chain", "gibbs", "tgt_cid", "src_cid", F.round("value", 6).alias("value"))
 
 
-@query("select chain, gibbs, tgt, " + ", ".join(f"round(max(case when src = {i} then value end), 6) s{i}" for i in range(8)) + " from edge where gibbs < 20 group by 1, 2, 3")
+@query("select chain, gibbs, tgt, " + ", ".join(f"round(max(case when src = {i} then value end), 6) s{i}" for i in range(8)) + " from edge group by 1, 2, 3")
 def a39_value_matrix(t):
-    return t.edge.where("gibbs < 20").groupBy("chain", "gibbs", "tgt").agg(*[F.round(F.max(F.when(F.col("src") == i, F.col("value"))), 6).alias(f"s{i}") for i in range(8)])
+    return t.edge.groupBy("chain", "gibbs", "tgt").agg(*[F.round(F.max(F.when(F.col("src") == i, F.col("value"))), 6).alias(f"s{i}") for i in range(8)])
 
 
 @query("select idx, round(sum(value / (value * value + 0.1)) / sum(1 / (value * value + 0.1)), 6) mean, round(ln(1 / sum(1 / (value * value + 0.1))), 6) log_var from growth group by 1")
@@ -281,9 +281,9 @@ def g4_canonical_labels(t):
     return P.canonical_labels(t.assign, ["chain", "gibbs"]).select("chain", "gibbs", "item", "label")
 
 
-@query(", c as (select chain, gibbs, cid, count(*) size, min(item) low from assign where gibbs < 10 group by 1, 2, 3) select chain, gibbs, cid, size, row_number() over (partition by chain, gibbs order by size desc, low) - 1 place from c")
+@query(", c as (select chain, gibbs, cid, count(*) size, min(item) low from assign group by 1, 2, 3) select chain, gibbs, cid, size, row_number() over (partition by chain, gibbs order by size desc, low) - 1 place from c")
 def k4_cluster_order(t):
-    c = t.assign.where("gibbs < 10").groupBy("chain", "gibbs", "cid").agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("low"))
+    c = t.assign.groupBy("chain", "gibbs", "cid").agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("low"))
     return c.withColumn("place", F.row_number().over(Window.partitionBy("chain", "gibbs").orderBy(F.desc("size"), "low")) - 1).drop("low")
 
 
@@ -362,11 +362,11 @@ def s29_network_json(t):
     return P.network_json(_network(t), nodes)
 
 
-@query("select chain, gibbs, tgt, src, x.value is not null as on_both from edge x where chain < 2")
+@query("select chain, gibbs, tgt, src, x.value is not null as on_both from edge x")
 def j13_expand(t):
     """Cluster-level indicators at item level; here every item is its own cluster."""
     mem = t.growth.select(F.col("idx").alias("item"), F.col("idx").alias("cid")).distinct()
-    c = t.edge.where("chain < 2").select("chain", "gibbs", F.col("tgt").alias("tgt_cid"), F.col("src").alias("src_cid"), "value")
+    c = t.edge.select("chain", "gibbs", F.col("tgt").alias("tgt_cid"), F.col("src").alias("src_cid"), "value")
     return P.expand_edges(c, mem).select("chain", "gibbs", "tgt", "src", F.col("value").isNotNull().alias("on_both"))
 
 

@@ -557,19 +557,20 @@ def c6_gram_negative(s):
     return s.taxa.select("idx", labels.gram_negative().alias("gram_negative"))
 
 
-@study_query("""select a.idx, cast((select count(*) from range(1, 51) r(i) where a.s[r.i] <> b.s[r.i] and a.s[r.i] <> 'N' and b.s[r.i] <> 'N') as int) distance from (select idx, substr("sequence", 1, 50) s from taxa where length("sequence") >= 50) a join (select idx, substr("sequence", 1, 50) s from taxa where length("sequence") >= 50) b on b.idx = a.idx + 1""")
+@study_query("""select a.idx, case when length(a.s) = length(b.s) then cast(len(list_filter(range(1, length(a.s) + 1), lambda i: a.s[i] <> b.s[i] and a.s[i] <> 'N' and b.s[i] <> 'N')) as int) end distance from (select idx, "sequence" s from taxa where "sequence" is not null) a join (select idx, "sequence" s from taxa where "sequence" is not null) b on b.idx = a.idx + 1""")
 def c7_hamming_to_next(s):
-    rows = s.taxa.where("length(sequence) >= 50").select("idx", F.substring("sequence", 1, 50).alias("s"))
+    """Of unequal lengths there is no distance."""
+    rows = s.taxa.where("sequence is not null").select("idx", F.col("sequence").alias("s"))
     nxt = rows.select((F.col("idx") - 1).alias("idx"), F.col("s").alias("t"))
     return rows.join(nxt, "idx").select("idx", labels.hamming(F.col("s"), F.col("t")).alias("distance"))
 
 
 @study_query("""select family, string_agg(case when n >= 0.65 * total then base else 'N' end, '' order by pos) consensus from (
   select family, pos, base, n, total, row_number() over (partition by family, pos order by n desc, base) k from (
-  select family, pos, base, count(*) n, sum(count(*)) over (partition by family, pos) total from (select family, u.i pos, substr("sequence", u.i, 1) base from taxa, unnest(range(1, 51)) u(i) where length("sequence") >= 50 and family <> 'NA') group by 1, 2, 3)) where k = 1 group by 1""")
+  select family, pos, base, count(*) n, sum(count(*)) over (partition by family, pos) total from (select family, u.i pos, substr("sequence", u.i, 1) base from taxa, unnest(range(1, length("sequence") + 1)) u(i) where family <> 'NA') group by 1, 2, 3)) where k = 1 group by 1""")
 def c8_consensus_sequence(s):
     """Majority base per place where its share reaches 0.65, else N; folded per place, never per sequence."""
-    rows = s.taxa.where("length(sequence) >= 50 and family <> 'NA'").select("family", F.posexplode(F.split(F.substring("sequence", 1, 50), "")).alias("pos", "base"))
+    rows = s.taxa.where("length(sequence) > 0 and family <> 'NA'").select("family", F.posexplode(F.split("sequence", "")).alias("pos", "base"))
     per = rows.groupBy("family", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
     best = per.groupBy("family", "pos").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.ascii("base")).alias("o"), "base")).alias("b"))
     base = F.when(F.col("b.n") >= 0.65 * F.col("total"), F.col("b.base")).otherwise("N")
