@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.graphs import connected_groups
 from strandline.session import durable
 
 FREQ_SLOTS = 1 << 20  #: slots of the frequency table that is broadcast (8 MB)
@@ -162,32 +163,6 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "idx", text_col: str = "se
     return across.unionByName(inside).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).where("id_a < id_b").distinct()
 
 
-def connected_groups(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, grp): the smallest node of each connected component, by alternating star contractions.
-
-    ``nodes`` has (node), ``links`` (a, b).  Each round halves long chains; no component is gathered in one task.
-    """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
-        # large star: every larger neighbour of a node is tied to the smallest of its neighbourhood
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("n", "m")
-        low = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-        large = both.join(low, "n").where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        # small star: a node and its smaller neighbours are tied to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        tied = large.join(least, "u")
-        small = tied.select(F.col("v").alias("u"), F.col("low").alias("v")).union(tied.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
-        new = durable(small)
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    root = edges.groupBy("u").agg(F.min("v").alias("grp"))
-    return nodes.join(root, nodes["node"] == root["u"], "left").select("node", F.coalesce("grp", "node").alias("grp"))
-
-
 def near_duplicate_groups(df: DataFrame, id_col: str = "idx", text_col: str = "sequence", threshold: float = 0.7, width: int = 10) -> DataFrame:
     """One row per record: (id, rep, grp, copies, links).
 
