@@ -38,7 +38,9 @@ def judged_readings(qpcr: DataFrame, metadata: DataFrame) -> DataFrame:
     q = latest(qpcr.where("reading_id is not null"), ["reading_id"], "loaded_at", ["sampleid", "rep", "cfu", "mass", "dilution"])
     q = q.where("cfu is not null").withColumn("sample", sample_key("sampleid")).where("sample is not null")
     m = metadata.select(sample_key("sampleid").alias("sample"), sample_key("subject").alias("subject"), F.expr("nullif(time, double('NaN'))").alias("time"), "loaded_at", "withdrawn_at")
-    m = m.where("sample is not null").groupBy("sample").agg(F.max_by("subject", "loaded_at").alias("source"), F.max_by("time", "loaded_at").alias("time"), F.max("withdrawn_at").alias("gone")).where("gone is null and source is not null").drop("gone")
+    last = F.max(F.struct("loaded_at", "subject", "time")).alias("last")  # rows without load time come first
+    m = m.where("sample is not null").groupBy("sample").agg(last, F.max("withdrawn_at").alias("gone")).where("gone is null and last.subject is not null")
+    m = m.select("sample", F.col("last.subject").alias("source"), F.col("last.time").alias("time"))
     return q.join(m, "sample").select(F.col("reading_id").alias("id"), "source", F.col("rep").alias("series"), "time", F.col("sample").alias("tie"), F.col("cfu").alias("raw"), "mass", "dilution")
 
 
@@ -121,7 +123,7 @@ def implausible_readings(qpcr: DataFrame, metadata: DataFrame, reach: float = 10
     density = F.when(F.col("mass") > 0, F.col("raw") * F.col("dilution") / F.col("mass"))
     x = F.when(finite & (F.col("raw") > 0) & (F.col("mass") > 0) & (density > 0) & ~F.isnan(density), F.log10(density))
     x = F.when(x.between(-1e308, 1e308), x)
-    bad = rows.where(~finite | (F.col("raw") < 0) | (F.col("mass") <= 0) | (density > top_density))
+    bad = rows.where(~finite | (F.col("raw") < 0) | (F.col("mass") <= 0) | ((density > top_density) & ~F.isnan(density)))
     suspects = chart_suspects(rows.withColumn("x", x), reach, least, block_rows)
     spikes = suspects.where(F.abs(F.col("x") - F.col("mid")) > reach * F.col("spread"))  # the exact check
     stuck = stuck_values(rows, least_run, block_rows)

@@ -92,8 +92,8 @@ _JUDGED = f"""
 with m as (select {KEY.format('sampleid')} sample, max({KEY.format('subject')}) subject, max(case when not isnan(time) then time end) t, max(withdrawn_at) gone from metadata group by 1),
 q as (select reading_id, max_by({KEY.format('sampleid')}, loaded_at) sample, max_by(rep, loaded_at) rep, max_by(cfu, loaded_at) cfu, max_by(mass, loaded_at) mass, max_by(dilution, loaded_at) dilution from qpcr where cfu is not null group by 1),
 j as (select q.*, subject, t from q join m using (sample) where gone is null and subject is not null),
-x as (select *, not isfinite(cfu) or cfu < 0 or mass <= 0 or cfu * dilution / nullif(mass, 0) > 1e14 as impossible,
-      case when isfinite(cfu) and cfu > 0 and mass > 0 and cfu * dilution / mass > 0 then log10(cfu * dilution / mass) end lx from j),
+x as (select *, not isfinite(cfu) or cfu < 0 or mass <= 0 or (cfu * dilution / nullif(mass, 0) > 1e14 and not isnan(mass)) as impossible,
+      case when isfinite(cfu) and cfu > 0 and mass > 0 and not isnan(mass) and cfu * dilution / mass > 0 then log10(cfu * dilution / mass) end lx from j),
 d as (select reading_id, subject, lx, median(lx) over (partition by subject) mid, count(*) over (partition by subject) n from x where lx is not null),
 s as (select reading_id from (select *, median(abs(lx - mid)) over (partition by subject) spread from d where n >= 10) where abs(lx - mid) > 10 * spread),
 r as (select reading_id, subject, rep, case when isfinite(cfu) and cfu > 0 then cfu end v, row_number() over w i, row_number() over w - row_number() over (partition by subject, rep, case when isfinite(cfu) and cfu > 0 then cfu end order by t, sample, reading_id) isle
