@@ -79,8 +79,8 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         spans = [merge_blocks(np.asarray([b["lv"] for b in bs]), np.asarray([b["ix"] for b in bs])) for bs in pdf["blocks"]]
         out = pdf.drop(columns="blocks")
-        out["starts"] = [[s for s, _ in x] for x in spans]
-        out["ends"] = [[e for _, e in x] for x in spans]
+        out["starts"] = pd.Series([[s for s, _ in x] for x in spans], index=out.index, dtype=object)
+        out["ends"] = pd.Series([[e for _, e in x] for x in spans], index=out.index, dtype=object)
         yield out
 
 
