@@ -26,6 +26,7 @@ from strandline.session import durable
 FREQ_SLOTS = 1 << 20  #: slots of the frequency table that is broadcast (8 MB)
 MAX_LEVEL = 12  #: most shared prefix shingles that a record may ask for
 VERIFY_COST = 24.0  #: cost of verifying one candidate, in postings
+EXPAND_COPIES = 1000  #: classes of more equal texts stand as pairs (representative, copy), not as all pairs of copies
 HOT_POSTINGS = 4000  #: posting lists above this are split over salts
 
 
@@ -148,19 +149,24 @@ def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int
 def near_duplicate_pairs(df: DataFrame, id_col: str = "idx", text_col: str = "sequence", threshold: float = 0.7, width: int = 10) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of rows whose shingle sets are similar.
 
-    Pairs of one class of equal texts are pairs too.  NULL or short texts are in no pair; two rows that
-    repeat one id make no pair with each other.
+    Pairs of one class of equal texts are pairs too.  A class of more than EXPAND_COPIES equal texts isn't multiplied
+    out: its copies pair with their representative, which alone stands for them in pairs with other texts.  NULL or
+    short texts are in no pair; two rows that repeat one id make no pair with each other.
     """
     members, reps = representatives(df, id_col, text_col, width)
     members = durable(members)
     links = similar_representatives(durable(reps), threshold, width).select("rep_a", "rep_b")
-    ma = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("i"))
-    mb = members.select(F.col("rep").alias("rep_b"), F.col("id").alias("j"))
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = members.join(sizes, "rep", "left")
+    shown = sized.where(F.col("n").isNull() | (F.col("n") <= EXPAND_COPIES) | (F.col("id") == F.col("rep"))).select("rep", "id")
+    ma = shown.select(F.col("rep").alias("rep_a"), F.col("id").alias("i"))
+    mb = shown.select(F.col("rep").alias("rep_b"), F.col("id").alias("j"))
     across = links.join(ma, "rep_a").join(mb, "rep_b").select("i", "j")
-    copied = members.groupBy("rep").count().where("count > 1").select("rep")
-    twins = members.join(copied, "rep")
-    inside = twins.select("rep", F.col("id").alias("i")).join(twins.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("i", "j")
-    return across.unionByName(inside).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).where("id_a < id_b").distinct()
+    few = sized.where(F.col("n") <= EXPAND_COPIES).select("rep", "id")
+    inside = few.withColumnRenamed("id", "i").join(few.withColumnRenamed("id", "j"), "rep").where("i < j").select("i", "j")
+    star = sized.where(F.col("n") > EXPAND_COPIES).select(F.col("rep").alias("i"), F.col("id").alias("j"))
+    every = across.unionByName(inside).unionByName(star)
+    return every.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).where("id_a < id_b").distinct()
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "idx", text_col: str = "sequence", threshold: float = 0.7, width: int = 10) -> DataFrame:

@@ -147,7 +147,7 @@ def _score(model: LevelModel):
             level = words / sents + 100.0 * long / words
             difficulty = mean @ model.calibration
             yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"][ok], "difficulty": difficulty, "shares": list(mean), "model_band": band(difficulty).astype(np.int32), "n_words": words.astype(np.int64), "n_sentences": sents.astype(np.int64), "level": level, "band": band(level).astype(np.int32)}
+                {"doc_id": pdf["doc_id"][ok], "difficulty": difficulty, "shares": pd.Series(list(mean), index=pdf["doc_id"][ok].index, dtype=object), "model_band": band(difficulty).astype(np.int32), "n_words": words.astype(np.int64), "n_sentences": sents.astype(np.int64), "level": level, "band": band(level).astype(np.int32)}
             )
 
     return run
