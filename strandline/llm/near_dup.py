@@ -137,7 +137,10 @@ def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int
     first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
     near = F.col("a.n") >= F.col("b.n") * F.lit(threshold) - F.lit(1e-9)
     inside = (F.col("a.pos") < F.col("a.base") + level) & (F.col("b.pos") < F.col("b.base") + level)
-    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & inside)
+    # a shared shingle splits both sets: what can still be shared is bounded by the shorter heads and tails
+    most = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
+    enough = most >= (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
+    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & inside & enough)
     pairs = met.groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("hits"), F.min(level).alias("lvl")).where("hits >= lvl")
     pairs = pairs.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"))
     ta = reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
