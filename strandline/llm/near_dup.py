@@ -1,14 +1,19 @@
 """Near-duplicate sequences: an exact set-similarity self-join with adaptive multi-match prefixes.
 
-Each record is a set of letter shingles.  All records order their shingles by the same key (estimated
-document frequency, then hash), rarest first.  Two sets of similarity ``t`` or more share at least ``l``
-shingles within their *l-prefixes*, the first ``n - ceil(t*n) + l`` shingles.  Every record picks its own
-``l`` from the posting lists its prefix would touch: a longer prefix costs more postings but lets a pair
-through only with ``l`` shared prefix shingles.  A pair is judged at the smaller of its two levels, so no
-pair is lost whatever levels are picked.
-
-Bounds: the frequency table has ``FREQ_SLOTS`` slots whatever the input is; frequencies only steer the
-order, a wrong estimate costs time, never a pair.
+Each record is a set of letter shingles.  All records order their shingles by the same key (estimated document
+frequency, then hash), rarest first.  Two sets of similarity ``t`` or more share at least ``l`` shingles within their
+*l-prefixes*, the first ``n - ceil(t*n) + l`` shingles.
+
+A record picks its level by the candidates its prefix would cost.  Where every shingle of its 1-prefix is rare, level 1
+will do: one shared shingle makes a candidate.  Else the prefix is lengthened to level ``CLASSES`` + 1, and two shared
+shingles are asked for: shingles fall into CLASSES classes by hash, so of ``CLASSES`` + 1 shared ones two are of one
+class, and the record shows the pairs of its prefix shingles within each class.  A pair of shingles is far rarer than
+one, so the lists stay short as the collection grows.  Records of the long level also show their rare single shingles,
+for partners of level 1; and records too short for the long level, and those that can be similar to such, show all
+singles.  So no pair is lost, whatever levels are picked.
+
+Bounds: the frequency table has ``FREQ_SLOTS`` slots whatever the input is; frequencies only steer the order and the
+levels, a wrong estimate costs time, never a pair.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from strandline.operators.graphs import connected_groups
 from strandline.session import durable
 
 FREQ_SLOTS = 1 << 20  #: slots of the frequency table that is broadcast (8 MB)
-MAX_LEVEL = 12  #: most shared prefix shingles that a record may ask for
-VERIFY_COST = 24.0  #: cost of verifying one candidate, in postings
+CLASSES = 48  #: classes of shingles; the long level asks for CLASSES + 1 shared ones
+RARE = 4  #: a shingle of up to so many records is rare
 EXPAND_COPIES = 1000  #: classes of more equal texts stand as pairs (representative, copy), not as all pairs of copies
 HOT_POSTINGS = 4000  #: posting lists above this are split over salts
 
@@ -46,8 +51,16 @@ def _need(n: np.ndarray | int, t: float):
     return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
 
 
-def _prefixes(freq: np.ndarray, t: float):
-    """mapInPandas body: a record's shingle hashes to its prefix postings with the level picked for it."""
+def _levels(n: int, t: float, classes: int) -> tuple[bool, bool]:
+    """(can take the long level, can be similar to a set that can't)."""
+    fits = int(_need(n, t)) > classes
+    smallest_partner = int(_need(n, t))
+    return fits, int(_need(smallest_partner, t)) <= classes
+
+
+def _prefixes(freq: np.ndarray, t: float, classes: int, rare: int):
+    """mapInPandas body: a record's shingle hashes to the keys it shows at the level picked for it."""
+    single, left, right = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -59,22 +72,35 @@ def _prefixes(freq: np.ndarray, t: float):
                     continue
                 df = freq[h & (FREQ_SLOTS - 1)]
                 order = np.lexsort((h, df))
-                h, df = h[order], df[order]
+                h, df = h[order].view(np.uint64), df[order]
                 base = n - int(_need(n, t))
-                top = min(MAX_LEVEL, n - base)
-                if top < 1:
-                    continue
-                cum = np.cumsum(df - 1)[base : base + top]  # postings touched at level 1, 2, ...
-                level = np.arange(1, top + 1)
-                pick = int(np.argmin(cum * (1.0 + VERIFY_COST / level))) + 1  # at most cum/level records can share `level`
-                m = base + pick
-                keep = np.flatnonzero(df[:m] > 1)  # a shingle of one record meets nobody
-                k = len(keep)
+                fits, short_partner = _levels(n, t, classes)
+                one, f1 = h[: base + 1], df[: base + 1]
+                cheap = f1[-1] <= rare  # the last is the most frequent
+                keep = f1 > 1  # a shingle of one record meets nobody
+                if not (cheap or short_partner or not fits):
+                    keep &= f1 <= rare
+                keys, shown = [one[keep] * single], [f1[keep]]
+                if fits and not cheap:
+                    two, f2 = h[: base + classes + 1], df[: base + classes + 1]
+                    kind = (two >> np.uint64(20)) % np.uint64(classes)
+                    by = np.lexsort((two, kind))
+                    two, f2, kind = two[by], f2[by], kind[by]
+                    some = f2 > 1
+                    two, f2, kind = two[some], f2[some], kind[some]
+                    for d in range(1, len(two)):
+                        same = np.flatnonzero(kind[d:] == kind[:-d])
+                        if not len(same):
+                            break
+                        keys.append((two[same] * left) ^ (two[same + d] * right + single))
+                        shown.append(np.minimum(f2[same], f2[same + d]))
+                keys, shown = np.concatenate(keys), np.concatenate(shown)
+                k = len(keys)
                 if k:
-                    parts.append((h[keep], keep.astype(np.int32), df[keep], np.full(k, rep), np.full(k, n, np.int32), np.full(k, base, np.int32), np.full(k, pick, np.int32)))
+                    parts.append((keys.view(np.int64), shown, np.full(k, rep), np.full(k, n, np.int32)))
             if parts:
                 cols = [np.concatenate(c) for c in zip(*parts)]
-                yield pd.DataFrame(dict(zip(("tok", "pos", "freq", "rep", "n", "base", "lvl"), cols)))
+                yield pd.DataFrame(dict(zip(("tok", "freq", "rep", "n"), cols)))
 
     return run
 
@@ -124,24 +150,18 @@ def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int
     counted = slots.groupBy("s").count().toArrow().to_pandas()  # FREQ_SLOTS rows at most
     freq = np.zeros(FREQ_SLOTS, np.int64)
     freq[counted["s"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
-    schema = "tok bigint, pos int, freq bigint, rep bigint, n int, base int, lvl int"
     shared = spark.sparkContext.broadcast(freq)
-    post = durable(hashed.mapInPandas(lambda it: _prefixes(shared.value, threshold)(it), schema))
-
-    # A long posting list is split: its left copies are spread over salts, its right copies go to each of them.
-    salts = F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int")
-    left = post.withColumn("salt", F.pmod(F.col("rep"), salts).cast("int"))
-    right = post.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    classes, rare = CLASSES, RARE
+    post = hashed.mapInPandas(lambda it: _prefixes(shared.value, threshold, classes, rare)(it), "tok bigint, freq bigint, rep bigint, n int")
+    # A long list is split: its left copies are spread over salts, its right copies go to each of them.
+    post = durable(post.select("tok", F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int").alias("salts"), "rep", "n"))
+    left = post.select("tok", F.pmod(F.col("rep"), F.col("salts")).cast("int").alias("salt"), "rep", "n")
+    right = post.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "n")
     a, b = left.alias("a"), right.alias("b")
-    level = F.least("a.lvl", "b.lvl")
     first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
     near = F.col("a.n") >= F.col("b.n") * F.lit(threshold) - F.lit(1e-9)
-    inside = (F.col("a.pos") < F.col("a.base") + level) & (F.col("b.pos") < F.col("b.base") + level)
-    # a shared shingle splits both sets: what can still be shared is bounded by the shorter heads and tails
-    most = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    enough = most >= (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
-    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & inside & enough)
-    pairs = met.groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("hits"), F.min(level).alias("lvl")).where("hits >= lvl")
+    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near)
+    pairs = met.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
     pairs = pairs.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"))
     ta = reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     tb = reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))

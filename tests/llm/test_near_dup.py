@@ -40,11 +40,13 @@ def test_pairs_against_brute_force(spark, rows, monkeypatch):
     assert set(got) == brute(rows)
 
 
-@pytest.mark.parametrize("cost", [0.0, 1000.0])
-def test_levels_only_steer_the_cost(spark, rows, monkeypatch, cost):
-    monkeypatch.setattr(N, "VERIFY_COST", cost)
+@pytest.mark.parametrize("classes,rare", [(2, 1), (5, 2), (12, 0), (12, 1000), (48, 4)])
+def test_levels_only_steer_the_cost(spark, rows, monkeypatch, classes, rare):
+    monkeypatch.setattr(N, "CLASSES", classes)
+    monkeypatch.setattr(N, "RARE", rare)
     df = spark.createDataFrame(rows, "idx int, sequence string")
     assert {tuple(r) for r in N.near_duplicate_pairs(df, threshold=0.8, width=6).collect()} == brute(rows, 0.8, 6)
+    assert {tuple(r) for r in N.near_duplicate_pairs(df).collect()} == brute(rows)
 
 
 def test_groups(spark, rows):
