@@ -5,12 +5,12 @@ frequency, then hash), rarest first.  Two sets of similarity ``t`` or more share
 *l-prefixes*, the first ``n - ceil(t*n) + l`` shingles.
 
 A record picks its level by the candidates its prefix would cost.  Where every shingle of its 1-prefix is rare, level 1
-will do: one shared shingle makes a candidate.  Else the prefix is lengthened to level ``CLASSES`` + 1, and two shared
-shingles are asked for: shingles fall into CLASSES classes by hash, so of ``CLASSES`` + 1 shared ones two are of one
-class, and the record shows the pairs of its prefix shingles within each class.  A pair of shingles is far rarer than
-one, so the lists stay short as the collection grows.  Records of the long level also show their rare single shingles,
-for partners of level 1; and records too short for the long level, and those that can be similar to such, show all
-singles.  So no pair is lost, whatever levels are picked.
+will do: one shared shingle makes a candidate.  Else the prefix is lengthened to level ``CLASSES + SHARED``: shingles
+fall into CLASSES classes by hash, so of that many shared ones at least SHARED pairs are of one class each, and the
+record shows the pairs of its prefix shingles within each class; SHARED of these must be shared before verification.
+A pair of shingles is far rarer than one, so the lists stay short as the collection grows.  Records of the long level
+also show their rare single shingles, for partners of level 1; and records too short for the long level, and those
+that can be similar to such, show all singles.  So no pair is lost, whatever levels are picked.
 
 Bounds: the frequency table has ``FREQ_SLOTS`` slots whatever the input is; frequencies only steer the order and the
 levels, a wrong estimate costs time, never a pair.
@@ -29,7 +29,8 @@ from strandline.operators.graphs import connected_groups
 from strandline.session import durable
 
 FREQ_SLOTS = 1 << 20  #: slots of the frequency table that is broadcast (8 MB)
-CLASSES = 48  #: classes of shingles; the long level asks for CLASSES + 1 shared ones
+CLASSES = 48  #: classes of shingles; the long level is that of CLASSES + SHARED shared shingles
+SHARED = 12  #: pairs of shingles that two records of the long level must share
 RARE = 4  #: a shingle of up to so many records is rare
 EXPAND_COPIES = 1000  #: classes of more equal texts stand as pairs (representative, copy), not as all pairs of copies
 HOT_POSTINGS = 4000  #: posting lists above this are split over salts
@@ -51,14 +52,17 @@ def _need(n: np.ndarray | int, t: float):
     return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
 
 
-def _levels(n: int, t: float, classes: int) -> tuple[bool, bool]:
+PAIR, SINGLE, HELPER = 0, 1, 2  #: a pair; a single of a record of level 1; a rare single of one of the long level
+
+
+def _levels(n: int, t: float, level: int) -> tuple[bool, bool]:
     """(can take the long level, can be similar to a set that can't)."""
-    fits = int(_need(n, t)) > classes
+    fits = int(_need(n, t)) >= level
     smallest_partner = int(_need(n, t))
-    return fits, int(_need(smallest_partner, t)) <= classes
+    return fits, int(_need(smallest_partner, t)) < level
 
 
-def _prefixes(freq: np.ndarray, t: float, classes: int, rare: int):
+def _prefixes(freq: np.ndarray, t: float, classes: int, rare: int, shared: int):
     """mapInPandas body: a record's shingle hashes to the keys it shows at the level picked for it."""
     single, left, right = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -74,15 +78,17 @@ def _prefixes(freq: np.ndarray, t: float, classes: int, rare: int):
                 order = np.lexsort((h, df))
                 h, df = h[order].view(np.uint64), df[order]
                 base = n - int(_need(n, t))
-                fits, short_partner = _levels(n, t, classes)
+                fits, short_partner = _levels(n, t, classes + shared)
                 one, f1 = h[: base + 1], df[: base + 1]
                 cheap = f1[-1] <= rare  # the last is the most frequent
                 keep = f1 > 1  # a shingle of one record meets nobody
-                if not (cheap or short_partner or not fits):
+                by_single = cheap or short_partner or not fits
+                if not by_single:
                     keep &= f1 <= rare
                 keys, shown = [one[keep] * single], [f1[keep]]
+                kinds = [np.full(len(keys[0]), SINGLE if by_single else HELPER, np.int8)]
                 if fits and not cheap:
-                    two, f2 = h[: base + classes + 1], df[: base + classes + 1]
+                    two, f2 = h[: base + classes + shared], df[: base + classes + shared]
                     kind = (two >> np.uint64(20)) % np.uint64(classes)
                     by = np.lexsort((two, kind))
                     two, f2, kind = two[by], f2[by], kind[by]
@@ -94,13 +100,14 @@ def _prefixes(freq: np.ndarray, t: float, classes: int, rare: int):
                             break
                         keys.append((two[same] * left) ^ (two[same + d] * right + single))
                         shown.append(np.minimum(f2[same], f2[same + d]))
+                        kinds.append(np.full(len(same), PAIR, np.int8))
                 keys, shown = np.concatenate(keys), np.concatenate(shown)
                 k = len(keys)
                 if k:
-                    parts.append((keys.view(np.int64), shown, np.full(k, rep), np.full(k, n, np.int32)))
+                    parts.append((keys.view(np.int64), shown, np.full(k, rep), np.full(k, n, np.int32), np.concatenate(kinds)))
             if parts:
                 cols = [np.concatenate(c) for c in zip(*parts)]
-                yield pd.DataFrame(dict(zip(("tok", "freq", "rep", "n"), cols)))
+                yield pd.DataFrame(dict(zip(("tok", "freq", "rep", "n", "kind"), cols)))
 
     return run
 
@@ -151,17 +158,17 @@ def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int
     freq = np.zeros(FREQ_SLOTS, np.int64)
     freq[counted["s"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(freq)
-    classes, rare = CLASSES, RARE
-    post = hashed.mapInPandas(lambda it: _prefixes(shared.value, threshold, classes, rare)(it), "tok bigint, freq bigint, rep bigint, n int")
+    classes, rare, least = CLASSES, RARE, SHARED
+    post = hashed.mapInPandas(lambda it: _prefixes(shared.value, threshold, classes, rare, least)(it), "tok bigint, freq bigint, rep bigint, n int, kind byte")
     # A long list is split: its left copies are spread over salts, its right copies go to each of them.
-    post = durable(post.select("tok", F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int").alias("salts"), "rep", "n"))
-    left = post.select("tok", F.pmod(F.col("rep"), F.col("salts")).cast("int").alias("salt"), "rep", "n")
-    right = post.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "n")
+    post = durable(post.select("tok", F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int").alias("salts"), "rep", "n", "kind"))
+    left = post.select("tok", F.pmod(F.col("rep"), F.col("salts")).cast("int").alias("salt"), "rep", "n", "kind")
+    right = post.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "n", "kind")
     a, b = left.alias("a"), right.alias("b")
     first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
     near = F.col("a.n") >= F.col("b.n") * F.lit(threshold) - F.lit(1e-9)
-    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near)
-    pairs = met.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
+    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & ~((F.col("a.kind") == HELPER) & (F.col("b.kind") == HELPER)))
+    pairs = met.groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("hits"), F.max("a.kind").alias("kind")).where((F.col("kind") > PAIR) | (F.col("hits") >= least))
     pairs = pairs.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"))
     ta = reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     tb = reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))

@@ -40,9 +40,10 @@ def test_pairs_against_brute_force(spark, rows, monkeypatch):
     assert set(got) == brute(rows)
 
 
-@pytest.mark.parametrize("classes,rare", [(2, 1), (5, 2), (12, 0), (12, 1000), (48, 4)])
-def test_levels_only_steer_the_cost(spark, rows, monkeypatch, classes, rare):
+@pytest.mark.parametrize("classes,rare,shared", [(2, 1, 1), (5, 2, 3), (12, 0, 6), (12, 1000, 6), (20, 4, 20)])
+def test_levels_only_steer_the_cost(spark, rows, monkeypatch, classes, rare, shared):
     monkeypatch.setattr(N, "CLASSES", classes)
+    monkeypatch.setattr(N, "SHARED", shared)
     monkeypatch.setattr(N, "RARE", rare)
     df = spark.createDataFrame(rows, "idx int, sequence string")
     assert {tuple(r) for r in N.near_duplicate_pairs(df, threshold=0.8, width=6).collect()} == brute(rows, 0.8, 6)
