@@ -75,10 +75,10 @@ def chart_suspects(rows: DataFrame, reach: float = 10.0, least: int = 10, block_
     """
     rows = rows.where("x is not null")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    rows = rows.join(sizes.select("source"), "source")
-    mid = durable(group_median(rows, ["source"], "x", "mid"))
+    rows = durable(rows.join(sizes.select("source"), "source"))
+    mid = durable(group_median(rows, ["source"], "x", "mid", block_rows))
     dist = rows.join(mid, "source").withColumn("dist", F.abs(F.col("x") - F.col("mid")))
-    base = mid.join(group_median(dist, ["source"], "dist", "spread"), "source")
+    base = mid.join(group_median(dist, ["source"], "dist", "spread", block_rows), "source")
     limit = (reach - MEAN_BAND) / SCALE_BAND * (1 - 1e-9)
     placed = with_blocks(rows.select("id", "source", F.coalesce("time", F.lit(0.0)).alias("t"), "x"), ["source"], "t", block_rows)
     placed = placed.join(base, "source").repartition("source", "blk").sortWithinPartitions("source", "blk", "t", "id")

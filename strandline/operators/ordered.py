@@ -19,13 +19,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], plain: li
     return left.join(right, on, how)
 
 
+def has_hot(df: DataFrame, keys: list[str], limit: int) -> bool:
+    """Whether a key has more than ``limit`` rows: one aggregate, folded before the shuffle; a single row comes back."""
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).isEmpty()
+
+
 def with_blocks(df: DataFrame, keys: list[str], order: str, target_rows: int) -> DataFrame:
     """``df`` with a column ``blk`` that rises with ``order`` within each key.
 
     Keys of ``target_rows`` rows or fewer are one block.  Larger ones get an equal-width histogram of CELLS cells
     over their own range; cells are packed into blocks of about ``target_rows`` rows.  Only a single cell can
     exceed that, where very many rows share nearly the same place.  NULL keys form groups like any other value.
+    ``df`` is counted once to see whether there are such keys at all, so it should be cheap to read.
     """
+    if not has_hot(df, keys, target_rows):
+        return df.withColumn("blk", F.lit(0))
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")).where(F.col("_n") > target_rows)
     # hot keys number at most rows/target_rows
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(CELLS - 1), F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS).cast("int"))).otherwise(F.lit(0))
@@ -36,11 +44,26 @@ def with_blocks(df: DataFrame, keys: list[str], order: str, target_rows: int) ->
     return null_safe_join(tagged, blocks, keys, ["_cell"], "left").select(*df.columns, F.coalesce("_b", F.lit(0)).alias("blk"))
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): the exact median of ``value`` per key, mean of the middle two, without gathering a key.
+def group_median(df: DataFrame, keys: list[str], value: str, name: str, limit: int = 50_000) -> DataFrame:
+    """(keys, name): the exact median of ``value`` per key, mean of the middle two.  NULL values are left out.
+
+    Keys of up to ``limit`` rows go through the built-in aggregate, whose state is one key's values; larger ones through
+    ``_hot_median``.  The result doesn't depend on the limit.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    plain = F.median("_v").alias(name)
+    if not has_hot(rows, keys, limit):
+        return rows.groupBy(*keys).agg(plain)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+    small = null_safe_join(rows, sizes, keys, [], "left_anti").groupBy(*keys).agg(plain)
+    return small.unionByName(_hot_median(null_safe_join(rows, sizes, keys, [], "left_semi"), keys, "_v", name))
+
+
+def _hot_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The median without gathering a key.
 
     Three rounds of counting narrow the middle ranks: 64 cells a unit, 4096 cells within each, then the distinct
-    values of the one cell left, all pre-aggregated before the shuffle.  NULL values are left out.
+    values of the one cell left, all pre-aggregated before the shuffle.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))

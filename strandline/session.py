@@ -39,3 +39,26 @@ def durable(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the study's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a context, where they would not find it by themselves."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.applicationId in _shipped or home in known or os.getcwd() == home or not os.path.isdir(home):
+        return
+    _shipped.add(sc.applicationId)
+    path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), "strandline.zip")  # the driver serves it from here
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(home, "strandline")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), home))
+    sc.addPyFile(path)
