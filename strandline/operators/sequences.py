@@ -79,11 +79,16 @@ def interpolate(rows: DataFrame, part: list[str], time: str, value: str) -> Data
 
 
 def densify(samples: DataFrame, times: DataFrame) -> DataFrame:
-    """(subject, time, given): every subject within its own span at every time of ``times``."""
-    span = samples.groupBy("subject").agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    t = times.select(F.col("time").alias("t")).distinct()
-    grid = span.join(t, (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi"))).select("subject", F.col("t").alias("time"))
-    return grid.join(samples.select("subject", "time", F.lit(True).alias("given")), ["subject", "time"], "left").select("subject", "time", F.coalesce("given", F.lit(False)).alias("given"))
+    """(subject, time, given): every subject at every time of ``times``, beyond its own span too.
+
+    Times travel as one array for each day of the grid and are opened last, so the grid itself is never shuffled.
+    """
+    day = F.floor("time").alias("day")
+    days = times.select("time").distinct().groupBy(day).agg(F.collect_list("time").alias("at"))
+    own = samples.groupBy("subject", day).agg(F.collect_set("time").alias("own"))
+    cells = samples.select("subject").distinct().crossJoin(days.select("day"))
+    marked = cells.join(own, ["subject", "day"], "left").join(days, "day").select("subject", "own", F.explode("at").alias("time"))
+    return marked.select("subject", "time", F.coalesce(F.array_contains("own", F.col("time")), F.lit(False)).alias("given"))
 
 
 def step_points(samples: DataFrame, step: float, eps: float) -> DataFrame:
