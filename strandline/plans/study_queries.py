@@ -11,6 +11,7 @@ from strandline.functions import labels
 from strandline.operators import relational as R
 from strandline.operators import sequences as Q
 from strandline.operators.study import LEVELS, Study
+from strandline.sources.tables import wide_qpcr
 
 KEY = "nullif(upper(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '')"
 _LV = ", ".join(f"coalesce(nullif(trim(\"{c}\"), ''), 'NA') \"{c}\"" for c in LEVELS)
@@ -99,10 +100,9 @@ def s4_perturbations(s):
 
 @study_query("select sample_id, max(case when k = 1 then d end) measurement1, max(case when k = 2 then d end) measurement2, max(case when k = 3 then d end) measurement3 from (select sample_id, round(log10(density), 6) d, row_number() over (partition by sample_id order by rep, reading_id) k from qpcr_c) group by 1")
 def s12_wide_qpcr(s):
-    """The wide replicate table, padded with NULL."""
-    k = F.row_number().over(Window.partitionBy("sample_id").orderBy("rep", "reading_id"))
-    rows = s.qpcr.withColumn("k", k).withColumn("d", lg("density"))
-    return rows.groupBy("sample_id").agg(*[F.max(F.when(F.col("k") == i, F.col("d"))).alias(f"measurement{i}") for i in (1, 2, 3)])
+    """The wide replicate table, padded with NULL to the most replicates of any sample; the SQL stops at three."""
+    wide = wide_qpcr(s)
+    return wide.select(F.col("sampleID").alias("sample_id"), *[lg(c).alias(c) for c in wide.columns if c != "sampleID"])
 
 
 @study_query("""select taxon as name, cast(sum(case when subject[1] = 'T' then raw end) as bigint) "T", cast(sum(case when subject[1] = 'U' then raw end) as bigint) "U",

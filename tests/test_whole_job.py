@@ -40,3 +40,10 @@ def test_densify_takes_all_times_of_all_subjects(spark, deliver):
     got = {(r["subject"], r["time"]): r["given"] for r in run(spark, "w16_densify", deliver()).collect()}
     given = set(SAMPLES.values())
     assert got == {(s, t): (s, t) in given for s in "AB" for t in (0.0, 0.25, 1.5, 3.0)}
+
+
+def test_wide_qpcr_has_a_column_for_every_replicate(spark, deliver):
+    d = deliver(qpcr=[("A-1", k, 10.0**k) for k in (5, 1, 4, 2, 3)] + [("B-1", 1, 100.0)])
+    got = run(spark, "s12_wide_qpcr", d)
+    assert got.columns == ["sample_id", *(f"measurement{k}" for k in range(1, 6))]
+    assert sorted(map(tuple, got.collect())) == [("A-1", 1, 2, 3, 4, 5), ("B-1", 2, None, None, None, None)]
