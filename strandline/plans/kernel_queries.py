@@ -240,9 +240,8 @@ def m2_residual(s):
   (select k.t, s.sample_id, coalesce(c.raw, 0) v from (select taxon_idx t from cells group by 1 order by sum(raw) desc, t limit 12) k cross join samples s left join cells c on c.taxon_idx = k.t and c.sample_id = s.sample_id)) b
   on a.sample_id = b.sample_id and a.t < b.t where exists (select 1 from cells x join cells y using (sample_id) where x.taxon_idx = a.t and y.taxon_idx = b.t and x.raw > 0 and y.raw > 0) group by 1, 2""")
 def j10_spearman(s):
-    """Distances of the 12 most abundant taxa from rank correlation over all samples."""
-    top = s.cells.groupBy("taxon_idx").agg(F.sum("raw").alias("t")).orderBy(F.desc("t"), "taxon_idx").limit(12).select("taxon_idx")
-    return X.sparse_spearman(s, top).withColumn("dist", F.round("dist", 6))
+    """Distances of all pairs of taxa from rank correlation over all samples; the SQL keeps to 12 taxa that share samples."""
+    return X.sparse_spearman(s, s.taxa.select(F.col("idx").alias("taxon_idx"))).withColumn("dist", F.round("dist", 6))
 
 
 # ---------------------------------------------------------------- densities

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from strandline.operators.study import LEVELS
@@ -47,3 +49,29 @@ def test_wide_qpcr_has_a_column_for_every_replicate(spark, deliver):
     got = run(spark, "s12_wide_qpcr", d)
     assert got.columns == ["sample_id", *(f"measurement{k}" for k in range(1, 6))]
     assert sorted(map(tuple, got.collect())) == [("A-1", 1, 2, 3, 4, 5), ("B-1", 2, None, None, None, None)]
+
+
+def test_spearman_has_every_pair(spark, deliver):
+    counts = {"T0": [5, 0, 3, 0, 1], "T1": [0, 2, 0, 7, 0], "T2": [0] * 5, "T3": [4, 4, 1, 0, 9], "T4": [3] * 5, **{f"U{k}": [k, 0, 1, 0, 0] for k in range(1, 11)}}
+    d = deliver(taxa=[(n, "ACGT", None) for n in counts], counts=[(n, k, c) for n, row in counts.items() for k, c in zip(SAMPLES, row)])
+    ranks = pd.DataFrame(list(counts.values())).T.rank()
+    got = {(r["a"], r["b"]): r["dist"] for r in run(spark, "j10_spearman", d).collect()}
+    assert len(got) == 15 * 14 // 2
+    for (a, b), x in got.items():
+        if 2 in (a, b):
+            assert x == 1
+        elif 4 in (a, b):
+            assert x is None
+        else:
+            assert x == pytest.approx((1 - np.corrcoef(ranks[a], ranks[b])[0, 1]) / 2, abs=1e-6)
+
+
+def test_spearman_blocks_change_nothing(spark, deliver):
+    from strandline.operators.design import sparse_spearman
+    from strandline.operators.study import Study
+
+    d = deliver(taxa=[(f"T{i}", "ACGT", None) for i in range(7)], counts=[(f"T{i}", k, i * j % 5) for i in range(7) for j, k in enumerate(SAMPLES)])
+    s = Study.load(spark, d)
+    idx = s.taxa.selectExpr("idx as taxon_idx")
+    rows = [sorted((r["a"], r["b"], round(r["dist"], 9)) for r in sparse_spearman(s, idx, k).collect()) for k in (2, 500)]
+    assert len(rows[0]) == 21 and rows[0] == rows[1]
