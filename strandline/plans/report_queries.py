@@ -14,7 +14,6 @@ from strandline.inference.run import calibrate_noise, infer
 from strandline.operators import kernels as K
 from strandline.operators import posterior as P
 from strandline.operators import trees as T
-from strandline.operators.relational import top_taxa
 from strandline.operators.study import LEVELS
 from strandline.plans import posterior_queries as PQ
 from strandline.plans.kernel_queries import ORACLE as _O
@@ -74,18 +73,14 @@ _SAME = " + ".join("case when " + " and ".join(f'x."{c}" = y."{c}"' for c in LEV
 
 @study(f"select x.name a, y.name b, 2.0 * (7 - ({_SAME})) dist from taxa x join taxa y on x.name < y.name where x.name in {_TOP} and y.name in {_TOP}")
 def g11_leaf_distances(s):
-    """Path lengths between the 40 most abundant taxa."""
-    top = top_taxa(s, "raw", 40).select(F.col("taxon").alias("name"))
-    return T.leaf_distances(_lineage_tree(s), top)
+    """Path lengths between all taxa; the SQL keeps to the 40 most abundant."""
+    return T.leaf_distances(_lineage_tree(s), s.taxa.select("name"))
 
 
 @study()
 def k7_reference_leaves(s):
-    """References of the 40 most abundant taxa within widening radii."""
-    top = top_taxa(s, "raw", 40).select(F.col("taxon").alias("name"))
-    d = T.leaf_distances(_lineage_tree(s), top)
-    both = d.select(F.col("a").alias("item"), F.col("b").alias("ref"), "dist").union(d.select("b", "a", "dist"))
-    return T.reference_leaves(both, top.select(F.col("name").alias("item"), F.lit(4.0).alias("radius")))
+    """References of every taxon, among all taxa, within widening radii."""
+    return T.widened_references(_lineage_tree(s), s.taxa.select(F.col("name").alias("item"), F.lit(4.0).alias("radius")))
 
 
 # ---------------------------------------------------------------- reports

@@ -75,3 +75,26 @@ def test_spearman_blocks_change_nothing(spark, deliver):
     idx = s.taxa.selectExpr("idx as taxon_idx")
     rows = [sorted((r["a"], r["b"], round(r["dist"], 9)) for r in sparse_spearman(s, idx, k).collect()) for k in (2, 500)]
     assert len(rows[0]) == 21 and rows[0] == rows[1]
+
+
+def test_references_and_distances_among_all_taxa(spark, deliver):
+    def lineage(i):
+        fam = 0 if i < 30 else 1 + (i - 30) // 4
+        return ["K", "P0" if fam < 3 else "P1", f"C{fam // 2}", f"O{fam // 2}", f"F{fam}", f"G{i // 3}", "NA"]
+
+    taxa = [(f"T{i:02}", "ACGT", lineage(i)) for i in range(46)]
+    d = deliver(taxa=taxa, counts=[(n, "A-1", 1000 - i) for i, (n, _, _) in enumerate(taxa)])
+
+    def dist(a, b):
+        same = next((k for k in range(6) if a[2][k] != b[2][k]), 6)
+        return 2.0 * (7 - same)
+
+    want = set()
+    for a in taxa:
+        near = {b[0]: dist(a, b) for b in taxa if b is not a}
+        m = next((m for m in np.arange(1, 2.8, 0.25) if sum(x <= 4 * m for x in near.values()) > 5), 2.75)
+        want |= {(a[0], b, x, float(m)) for b, x in near.items() if x <= 4 * m}
+    assert {tuple(r) for r in run(spark, "k7_reference_leaves", d).select("item", "ref", "dist", "multiplier").collect()} == want
+    assert len({m for *_, m in want}) > 1
+    got = {(r["a"], r["b"]): r["dist"] for r in run(spark, "g11_leaf_distances", d).collect()}
+    assert got == {(a[0], b[0]): dist(a, b) for a in taxa for b in taxa if a[0] < b[0]}
