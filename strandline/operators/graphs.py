@@ -19,10 +19,10 @@ def connected_groups(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -
         # large star: every larger neighbour of a node is tied to the smallest of its neighbourhood
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("n", "m")
         low = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-        large = both.join(low, "n").where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "n").where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("low"))
-        tied = large.join(least, "u")
+        tied = large.join(least.hint("merge"), "u")
         small = tied.select(F.col("v").alias("u"), F.col("low").alias("v")).union(tied.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
         new = durable(small)
         same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
@@ -32,7 +32,7 @@ def connected_groups(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     root = edges.groupBy("u").agg(F.min("v").alias("grp"))
-    return nodes.join(root, nodes["node"] == root["u"], "left").select("node", F.coalesce("grp", "node").alias("grp"))
+    return nodes.join(root.hint("merge"), nodes["node"] == root["u"], "left").select("node", F.coalesce("grp", "node").alias("grp"))
 
 
 def hamming_neighbours(rows: DataFrame, most: int, pieces: int | None = None) -> DataFrame:
