@@ -1,19 +1,25 @@
 """Near-duplicate sequences: an exact set-similarity self-join with adaptive multi-match prefixes.
 
 Each record is a set of letter shingles.  All records order their shingles by the same key (estimated document
-frequency, then hash), rarest first.  Two sets of similarity ``t`` or more share at least ``l`` shingles within their
-*l-prefixes*, the first ``n - ceil(t*n) + l`` shingles.
-
-A record picks its level by the candidates its prefix would cost.  Where every shingle of its 1-prefix is rare, level 1
-will do: one shared shingle makes a candidate.  Else the prefix is lengthened to level ``CLASSES + SHARED``: shingles
-fall into CLASSES classes by hash, so of that many shared ones at least SHARED pairs are of one class each, and the
-record shows the pairs of its prefix shingles within each class; SHARED of these must be shared before verification.
-A pair of shingles is far rarer than one, so the lists stay short as the collection grows.  Records of the long level
-also show their rare single shingles, for partners of level 1; and records too short for the long level, and those
-that can be similar to such, show all singles.  So no pair is lost, whatever levels are picked.
+frequency, then hash), rarest first.  Two sets of similarity ``t`` or more share at least ``m`` shingles within their
+*m-prefixes*, the first ``n - ceil(t*n) + m`` shingles.
+
+Every record lengthens its prefix by what the candidates would cost.  For each level ``m`` of ``LEVELS`` the matches
+``s(m)`` of its m-prefix are added up from the frequencies; by Markov's bound at most ``s(m) / m`` records share ``m``
+of them, so the level costs ``KEY_COST * keys + s(m) * (1 + CHECK_COST / m)``.  The cheapest level is taken; two
+records must share as many prefix shingles as the lower of their levels says before they are verified.
+
+Beyond the levels of single shingles stands the long level ``CLASSES + SHARED``: shingles fall into CLASSES classes by
+hash, so of that many shared ones at least SHARED pairs are of one class each, and the record shows the pairs of its
+prefix shingles within each class; SHARED of these must be shared before verification.  A pair of shingles is far
+rarer than one, so the lists stay short as the collection grows.  A single level is open only to records whose prefix
+holds no shingle of more than RARE records; records of the long level therefore also show their rare single shingles,
+for partners of a single level.  Records too short for the long level, and those that can be similar to such, show all
+singles.  So no pair is lost, whatever levels are picked.
 
 Bounds: the frequency table has ``FREQ_SLOTS`` slots whatever the input is; frequencies only steer the order and the
-levels, a wrong estimate costs time, never a pair.
+levels, a wrong estimate costs time, never a pair.  Postings, candidates and texts are joined by sort-merge only: a
+checkpoint keeps the size estimate of the plan before it, which says nothing about the rows an Arrow function makes.
 """
 
 from __future__ import annotations
@@ -29,11 +35,14 @@ from strandline.operators.graphs import connected_groups
 from strandline.session import durable
 
 FREQ_SLOTS = 1 << 20  #: slots of the frequency table that is broadcast (8 MB)
+LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)  #: shared single shingles that a record may ask for
 CLASSES = 48  #: classes of shingles; the long level is that of CLASSES + SHARED shared shingles
 SHARED = 12  #: pairs of shingles that two records of the long level must share
-RARE = 4  #: a shingle of up to so many records is rare
+RARE = 8  #: a shingle of up to so many records is rare
+KEY_COST, CHECK_COST = 2.0, 30.0  #: of a shown key and of a verified candidate, in matches
 EXPAND_COPIES = 1000  #: classes of more equal texts stand as pairs (representative, copy), not as all pairs of copies
 HOT_POSTINGS = 4000  #: posting lists above this are split over salts
+CHUNK = 1 << 20  #: letters whose shingles are held at once
 
 
 def normalise(col: str) -> F.Column:
@@ -41,10 +50,31 @@ def normalise(col: str) -> F.Column:
     return F.translate(F.upper(F.regexp_replace(F.col(col), r"(?U)[\s\-]+", "")), "U", "T")
 
 
-def shingles(col: F.Column, width: int) -> F.Column:
-    """The distinct substrings of ``width`` letters; empty when the text is shorter."""
-    at = F.sequence(F.lit(1), F.length(col) - (width - 1))
-    return F.when(F.length(col) >= width, F.array_distinct(F.transform(at, lambda i: F.substring(col, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of the distinct shingles of every text, sorted by text, then hash."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    m = len(cp) - width + 1
+    if m <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.zeros(m, np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + cp[k : k + m] + np.uint64(0x2545F491)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    # a sort of each text's own hashes stays in the cache; one sort of all of them doesn't
+    end = np.cumsum(size)
+    sets = [np.unique(h[e - n : e - width + 1]) if n >= width else h[:0] for e, n in zip(end.tolist(), size.tolist())]
+    return np.concatenate(sets), np.repeat(np.arange(len(texts)), [len(x) for x in sets])
+
+
+def _chunks(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
+    reps, texts = pdf["rep"].to_numpy(np.int64), pdf["text"].tolist()
+    part = np.cumsum([len(t) for t in texts]) // CHUNK if texts else np.empty(0, np.int64)
+    for p in np.unique(part):
+        rows = np.flatnonzero(part == p)
+        yield reps[rows], [texts[i] for i in rows]
 
 
 def _need(n: np.ndarray | int, t: float):
@@ -52,75 +82,106 @@ def _need(n: np.ndarray | int, t: float):
     return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
 
 
-PAIR, SINGLE, HELPER = 0, 1, 2  #: a pair; a single of a record of level 1; a rare single of one of the long level
-
-
-def _levels(n: int, t: float, level: int) -> tuple[bool, bool]:
-    """(can take the long level, can be similar to a set that can't)."""
-    fits = int(_need(n, t)) >= level
-    smallest_partner = int(_need(n, t))
-    return fits, int(_need(smallest_partner, t)) < level
-
-
-def _prefixes(freq: np.ndarray, t: float, classes: int, rare: int, shared: int):
-    """mapInPandas body: a record's shingle hashes to the keys it shows at the level picked for it."""
-    single, left, right = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+def _count_slots(width: int):
+    """mapInPandas body: records per slot of the shingle hashes, summed over the task; slot -1 counts the records."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        freq, n = np.zeros(FREQ_SLOTS, np.int64), 0
         for pdf in batches:
-            parts = []
-            for rep, raw in zip(pdf["rep"].to_numpy(), pdf["hashes"]):
-                h = np.unique(np.asarray(raw, dtype=np.int64))
-                n = len(h)
-                if not n:
-                    continue
-                df = freq[h & (FREQ_SLOTS - 1)]
-                order = np.lexsort((h, df))
-                h, df = h[order].view(np.uint64), df[order]
-                base = n - int(_need(n, t))
-                fits, short_partner = _levels(n, t, classes + shared)
-                one, f1 = h[: base + 1], df[: base + 1]
-                cheap = f1[-1] <= rare  # the last is the most frequent
-                keep = f1 > 1  # a shingle of one record meets nobody
-                by_single = cheap or short_partner or not fits
-                if not by_single:
-                    keep &= f1 <= rare
-                keys, shown = [one[keep] * single], [f1[keep]]
-                kinds = [np.full(len(keys[0]), SINGLE if by_single else HELPER, np.int8)]
-                if fits and not cheap:
-                    two, f2 = h[: base + classes + shared], df[: base + classes + shared]
-                    kind = (two >> np.uint64(20)) % np.uint64(classes)
-                    by = np.lexsort((two, kind))
-                    two, f2, kind = two[by], f2[by], kind[by]
-                    some = f2 > 1
-                    two, f2, kind = two[some], f2[some], kind[some]
-                    for d in range(1, len(two)):
-                        same = np.flatnonzero(kind[d:] == kind[:-d])
-                        if not len(same):
-                            break
-                        keys.append((two[same] * left) ^ (two[same + d] * right + single))
-                        shown.append(np.minimum(f2[same], f2[same + d]))
-                        kinds.append(np.full(len(same), PAIR, np.int8))
-                keys, shown = np.concatenate(keys), np.concatenate(shown)
-                k = len(keys)
-                if k:
-                    parts.append((keys.view(np.int64), shown, np.full(k, rep), np.full(k, n, np.int32), np.concatenate(kinds)))
-            if parts:
-                cols = [np.concatenate(c) for c in zip(*parts)]
-                yield pd.DataFrame(dict(zip(("tok", "freq", "rep", "n", "kind"), cols)))
+            n += len(pdf)
+            for _, texts in _chunks(pdf):
+                h, _ = shingle_sets(texts, width)
+                freq += np.bincount((h & np.uint64(FREQ_SLOTS - 1)).astype(np.int64), minlength=FREQ_SLOTS)
+        at = np.flatnonzero(freq)
+        yield pd.DataFrame({"s": np.append(at, -1).astype(np.int32), "c": np.append(freq[at], n)})
 
     return run
 
 
+class Prefixes:
+    """Picks levels and shows keys for the records of a chunk."""
+
+    def __init__(self, freq: np.ndarray, records: int, threshold: float, width: int):
+        self.freq, self.records, self.t, self.width = freq, max(records, 1), threshold, width
+        # read on the driver, as tests set them there
+        self.classes, self.shared, self.rare = CLASSES, SHARED, RARE
+        self.levels = LEVELS
+        self.helper = max(LEVELS) + 1  #: stands for the level of the rare singles of a record of the long level
+
+    def keys(self, reps: np.ndarray, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(key, estimated frequency, rep, set size, level, entry) of every key shown; level 0 is the long one.
+
+        ``entry`` is the lowest level whose prefix holds the shingle; pairs have 0.
+        """
+        h, of = shingle_sets(texts, self.width)
+        f = self.freq[(h & np.uint64(len(self.freq) - 1)).astype(np.int64)]
+        n = np.bincount(of, minlength=len(texts))
+        start = np.cumsum(n) - n
+        # by frequency, then hash, in each text; the hashes are sorted already and the sort is stable
+        order = [s + np.argsort(f[s : s + k], kind="stable") for s, k in zip(start.tolist(), n.tolist())]
+        order = np.concatenate(order) if order else np.empty(0, np.int64)
+        h, f = h[order], f[order]
+        need = _need(n, self.t)
+        base = n - need
+        pos = np.arange(len(h)) - start[of]
+        long = self.classes + self.shared
+        fits = need >= long
+        free = ~fits | (_need(need, self.t) < long)  # too short for the long level, or similar to such
+        met = np.concatenate([[0], np.cumsum(f - 1)])  # matches up to here
+        some = np.concatenate([[0], np.cumsum(f > 1)])  # keys that meet anybody
+        level, best = np.zeros(len(texts), np.int64), np.full(len(texts), np.inf)
+        reach = start + np.minimum(base + long, n)
+        pairs = (some[reach] - some[start]).astype(float) ** 2 / (2 * self.classes)
+        mean = 1 + (met[reach] - met[start]) / np.maximum(reach - start, 1)
+        best = np.where(free, np.inf, pairs * (KEY_COST + mean * mean / self.records * (1 + CHECK_COST / self.shared)))
+        for m in self.levels:
+            end = start + np.minimum(base + m, n)
+            cost = (some[end] - some[start]) * KEY_COST + (met[end] - met[start]) * (1 + CHECK_COST / m)
+            last = f[np.maximum(end - 1, 0)] if len(f) else np.zeros(len(texts), np.int64)
+            open_ = (m <= np.maximum(need, 1)) & (free | (last <= self.rare)) & (n > 0) & (cost < best)
+            level, best = np.where(open_, m, level), np.where(open_, cost, best)
+        mine = level[of]
+        entry = np.maximum(pos - base[of] + 1, 1)
+        single = np.where(mine > 0, entry <= mine, (entry < self.helper) & (f <= self.rare)) & (f > 1)
+        out = [
+            (
+                h[single] * np.uint64(0x9E3779B97F4A7C15), f[single], of[single],
+                np.where(mine > 0, mine, self.helper)[single], entry[single],
+            )
+        ]
+        two = (mine == 0) & (entry <= long) & (f > 1)
+        if two.any():
+            h, f, of = h[two], f[two], of[two]
+            group = of * self.classes + ((h >> np.uint64(20)) % np.uint64(self.classes)).astype(np.int64)
+            by = np.argsort(h, kind="stable")
+            by = by[np.argsort(group[by], kind="stable")]
+            h, f, of, group = h[by], f[by], of[by], group[by]
+            for d in range(1, len(h)):
+                same = np.flatnonzero(group[d:] == group[:-d])
+                if not len(same):
+                    break
+                key = (h[same] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[same + d] * np.uint64(0x165667B19E3779F9) + np.uint64(0x9E3779B97F4A7C15))
+                zero = np.zeros(len(same), np.int64)
+                out.append((key, np.minimum(f[same], f[same + d]), of[same], zero, zero))
+        key, f, of, level, entry = (np.concatenate(c) for c in zip(*out))
+        return key.view(np.int64), f, reps[of], n[of].astype(np.int32), level.astype(np.int8), entry.astype(np.int8)
+
+    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for reps, texts in _chunks(pdf):
+                yield pd.DataFrame(dict(zip(("tok", "freq", "rep", "n", "lvl", "entry"), self.keys(reps, texts))))
+
+
 def _verify(t: float, width: int):
-    """mapInPandas body: exact similarity of candidate pairs on the strings themselves."""
+    """mapInPandas body: exact similarity of candidate pairs; rows come sorted by rep_a."""
 
     def grams(s: str, memo: dict) -> frozenset:
-        if s not in memo:
+        got = memo.get(s)
+        if got is None:
             if len(memo) > 4096:
                 memo.clear()
-            memo[s] = frozenset(s[i : i + width] for i in range(len(s) - width + 1))
-        return memo[s]
+            got = memo[s] = frozenset([s[i : i + width] for i in range(len(s) - width + 1)])
+        return got
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, frozenset] = {}
@@ -141,9 +202,10 @@ def representatives(df: DataFrame, id_col: str, text_col: str, width: int, norm=
 
     Rows whose id or text is NULL, or whose text is shorter than ``width``, are in no class.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), norm(text_col).alias("text")).where((F.length("text") >= width) & F.col("id").isNotNull())
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), norm(text_col).alias("text"))
+    rows = rows.where((F.length("text") >= width) & F.col("id").isNotNull())
     reps = rows.groupBy("text").agg(F.min("id").alias("rep"))
-    return rows.join(reps, "text").select("id", "rep"), reps.select("rep", "text")
+    return rows.join(reps.hint("merge"), "text").select("id", "rep"), reps.select("rep", "text")
 
 
 def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int = 10) -> DataFrame:
@@ -152,27 +214,31 @@ def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int
     ``reps`` holds (rep, text), texts distinct.  Empty input gives an empty result.
     """
     spark = reps.sparkSession
-    hashed = durable(reps.select("rep", F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s)).alias("hashes")))
-    slots = hashed.select(F.explode("hashes").alias("h")).select(F.col("h").bitwiseAND(FREQ_SLOTS - 1).cast("int").alias("s"))
-    counted = slots.groupBy("s").count().toArrow().to_pandas()  # FREQ_SLOTS rows at most
+    slots = reps.mapInPandas(_count_slots(width), "s int, c bigint")
+    counted = slots.groupBy("s").agg(F.sum("c").alias("c")).toArrow().to_pandas()  # FREQ_SLOTS + 1 rows at most
+    at, c = counted["s"].to_numpy(np.int64), counted["c"].to_numpy(np.int64)
     freq = np.zeros(FREQ_SLOTS, np.int64)
-    freq[counted["s"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(freq)
-    classes, rare, least = CLASSES, RARE, SHARED
-    post = hashed.mapInPandas(lambda it: _prefixes(shared.value, threshold, classes, rare, least)(it), "tok bigint, freq bigint, rep bigint, n int, kind byte")
+    freq[at[at >= 0]] = c[at >= 0]
+    picker = Prefixes(freq, int(c[at < 0].sum()), threshold, width)
+    shared = spark.sparkContext.broadcast(picker)
+    schema = "tok bigint, freq bigint, rep bigint, n int, lvl byte, entry byte"
+    post = reps.mapInPandas(lambda it: shared.value.run(it), schema)
     # A long list is split: its left copies are spread over salts, its right copies go to each of them.
-    post = durable(post.select("tok", F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int").alias("salts"), "rep", "n", "kind"))
-    left = post.select("tok", F.pmod(F.col("rep"), F.col("salts")).cast("int").alias("salt"), "rep", "n", "kind")
-    right = post.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "n", "kind")
+    post = durable(post.select("tok", F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int").alias("salts"), "rep", "n", "lvl", "entry"))
+    left = post.select("tok", F.pmod(F.col("rep"), F.col("salts")).cast("int").alias("salt"), "rep", "n", "lvl", "entry")
+    right = post.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "n", "lvl", "entry")
     a, b = left.alias("a"), right.alias("b")
     first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
     near = F.col("a.n") >= F.col("b.n") * F.lit(threshold) - F.lit(1e-9)
-    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & ~((F.col("a.kind") == HELPER) & (F.col("b.kind") == HELPER)))
-    pairs = met.groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("hits"), F.max("a.kind").alias("kind")).where((F.col("kind") > PAIR) | (F.col("hits") >= least))
-    pairs = pairs.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"))
+    low = F.least("a.lvl", "b.lvl")  # both show all shingles of that level's prefixes
+    inside = (low < picker.helper) & (F.greatest("a.entry", "b.entry") <= low)
+    met = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & inside)
+    least = F.when(low == 0, F.lit(picker.shared)).otherwise(low.cast("int"))
+    pairs = met.groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("hits"), F.max(least).alias("least"))
+    pairs = pairs.where("hits >= least").select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"))
     ta = reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     tb = reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
-    full = pairs.join(tb, "rep_b").join(ta, "rep_a").select("rep_a", "rep_b", "text_a", "text_b")
+    full = pairs.join(tb.hint("merge"), "rep_b").join(ta.hint("merge"), "rep_a").select("rep_a", "rep_b", "text_a", "text_b")
     return full.mapInPandas(_verify(threshold, width), "rep_a bigint, rep_b bigint, both bigint, either bigint")
 
 
@@ -180,25 +246,36 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "idx", text_col: str = "se
     """(id_a, id_b), id_a < id_b: every pair of rows whose shingle sets are similar.
 
     Pairs of one class of equal texts are pairs too.  A class of more than EXPAND_COPIES equal texts isn't multiplied
-    out: its copies pair with their representative, which alone stands for them in pairs with other texts.  NULL or
-    short texts are in no pair; two rows that repeat one id make no pair with each other.
+    out, as its pairs would be the square of it: its copies pair with their representative, which alone stands for
+    them in pairs with other texts; no link between different texts is lost.  ``similar_classes`` has one form for
+    classes of every size.  NULL or short texts are in no pair; two rows that repeat one id make no pair with each other.
     """
     members, reps = representatives(df, id_col, text_col, width)
     members = durable(members)
     links = similar_representatives(durable(reps), threshold, width).select("rep_a", "rep_b")
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = members.join(sizes, "rep", "left")
+    sized = members.join(sizes.hint("merge"), "rep", "left")
     shown = sized.where(F.col("n").isNull() | (F.col("n") <= EXPAND_COPIES) | (F.col("id") == F.col("rep"))).select("rep", "id")
     ma = shown.select(F.col("rep").alias("rep_a"), F.col("id").alias("i"))
     mb = shown.select(F.col("rep").alias("rep_b"), F.col("id").alias("j"))
-    across = links.join(ma, "rep_a").join(mb, "rep_b").select("i", "j")
+    across = links.join(ma.hint("merge"), "rep_a").join(mb.hint("merge"), "rep_b").select("i", "j")
     few = sized.where(F.col("n") <= EXPAND_COPIES).select("rep", "id")
-    inside = few.withColumnRenamed("id", "i").join(few.withColumnRenamed("id", "j"), "rep").where("i < j").select("i", "j")
+    one, other = few.withColumnRenamed("id", "i"), few.withColumnRenamed("id", "j")
+    inside = one.join(other.hint("merge"), "rep").where("i < j").select("i", "j")
     star = sized.where(F.col("n") > EXPAND_COPIES).select(F.col("rep").alias("i"), F.col("id").alias("j"))
     every = across.unionByName(inside).unionByName(star)
     return every.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).where("id_a < id_b").distinct()
 
 
+def similar_classes(df: DataFrame, id_col: str = "idx", text_col: str = "sequence", threshold: float = 0.7, width: int = 10) -> DataFrame:
+    """(rep_a, rep_b, both, either), rep_a < rep_b: the pairs of classes of equal texts that are similar.
+
+    ``rep`` is a class's smallest id; ``near_duplicate_groups`` lists each class's members.  NULL or short texts are
+    in no class.
+    """
+    return similar_representatives(durable(representatives(df, id_col, text_col, width)[1]), threshold, width)
+
+
 def near_duplicate_groups(df: DataFrame, id_col: str = "idx", text_col: str = "sequence", threshold: float = 0.7, width: int = 10) -> DataFrame:
     """One row per record: (id, rep, grp, copies, links).
 
@@ -209,7 +286,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "idx", text_col: str = "s
     members, reps = durable(members), durable(reps)
     links = durable(similar_representatives(reps, threshold, width).select("rep_a", "rep_b"))
     groups = connected_groups(reps.select(F.col("rep").alias("node")), links.toDF("a", "b"))
-    n_links = links.select(F.col("rep_a").alias("rep")).union(links.select("rep_b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    ends = links.select(F.col("rep_a").alias("rep")).union(links.select("rep_b"))
+    n_links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     per_class = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    info = per_class.join(groups.withColumnRenamed("node", "rep"), "rep").join(n_links, "rep", "left")
-    return members.join(info, "rep").select("id", "rep", "grp", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    info = per_class.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep").join(n_links.hint("merge"), "rep", "left")
+    return members.join(info.hint("merge"), "rep").select("id", "rep", "grp", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.leakage import leaked_items
-from strandline.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
+from strandline.llm.near_dup import near_duplicate_groups, near_duplicate_pairs, similar_classes
 from strandline.llm.packing import CAPACITY, pack, token_sizes
 from strandline.llm.reading_level import reading_levels
 from strandline.session import durable, read_table
@@ -24,6 +24,12 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, d, "taxonomy")).select(F.col("id").alias("idx"), "rep", "grp", "copies", "links")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The similar pairs of classes of equal sequences, each class named by its smallest idx."""
+    got = similar_classes(read_table(spark, d, "taxonomy"))
+    return got.select("rep_a", "rep_b", "both", "either")
+
+
 def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_sizes(read_table(spark, d, "documents")))
 
@@ -55,7 +61,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p7_assignment, p7_fill, p8_found, p8_near, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p1_groups, p1_classes, p7_assignment, p7_fill, p8_found, p8_near, p9_found, p9_profile)
 }
 
 _PLAIN = "regexp_replace(regexp_replace(text, '</?\\p{L}[^>]*>', ' ', 'g'), '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{00AD}]', '', 'g')"
@@ -68,13 +74,26 @@ l as (select doc_id, nw, nw / ns + 100.0 * nl / nw as level from s where nw >= 3
 b as (select doc_id, nw, level, cast(case when level < 30 then 1 when level < 45 then 2 when level < 60 then 3 else 4 end as int) band from l)
 """
 
+#: pairs (i, j) of rows that share c shingles of ni and nj, and the representative r of each row's class
+_P1 = """
+with recursive s as (select idx, replace(upper(regexp_replace(sequence, '[\\s-]', '', 'g')), 'U', 'T') x from taxonomy where sequence is not null),
+k as (select idx, x, min(idx) over (partition by x) r from s where length(x) >= 10),
+g as (select distinct idx, substr(x, i, 10) g from k, unnest(range(1, length(x) - 8)) u(i)),
+n as (select idx, count(*) n from g group by 1),
+p as (select a.idx i, b.idx j, count(*) c from g a join g b on a.g = b.g and a.idx < b.idx group by 1, 2),
+f as materialized (select i, j, c, na.n + nb.n - c e from p join n na on i = na.idx join n nb on j = nb.idx where c >= 0.7 * (na.n + nb.n - c) - 1e-9),
+l as materialized (select i a, j b, c, e from f where i in (select r from k) and j in (select r from k)),
+u as (select a, b from l union select b, a from l),
+w as (select r node, r grp from k union select u.b, w.grp from w join u on u.a = w.node),
+t as (select node, min(grp) grp from w group by 1)
+"""
+
 ORACLE: dict[str, str] = {
-    "p1_found": """
-      with s as (select idx, replace(upper(regexp_replace(sequence, '[\\s-]', '', 'g')), 'U', 'T') x from taxonomy where sequence is not null),
-      g as (select distinct idx, substr(x, i, 10) g from s, unnest(range(1, length(x) - 8)) u(i) where length(x) >= 10),
-      n as (select idx, count(*) n from g group by 1),
-      p as (select a.idx i, b.idx j, count(*) c from g a join g b on a.g = b.g and a.idx < b.idx group by 1, 2)
-      select i idx_a, j idx_b from p join n na on i = na.idx join n nb on j = nb.idx where c >= 0.7 * (na.n + nb.n - c) - 1e-9""",
+    "p1_found": _P1 + "select i idx_a, j idx_b from f",
+    "p1_classes": _P1 + "select a rep_a, b rep_b, c \"both\", e \"either\" from l",
+    "p1_groups": _P1
+    + """select idx, k.r rep, t.grp, count(*) over (partition by k.r) copies, (select count(*) from u where u.a = k.r) links
+      from k join t on t.node = k.r""",
     "p8_found": f"""
       with d as (select doc_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from documents where text is not null),
       i as (select item_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from eval_items where text is not null),

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandline.llm import near_dup as N
@@ -40,8 +41,9 @@ def test_pairs_against_brute_force(spark, rows, monkeypatch):
     assert set(got) == brute(rows)
 
 
-@pytest.mark.parametrize("classes,rare,shared", [(2, 1, 1), (5, 2, 3), (12, 0, 6), (12, 1000, 6), (20, 4, 20)])
-def test_levels_only_steer_the_cost(spark, rows, monkeypatch, classes, rare, shared):
+@pytest.mark.parametrize("classes,rare,shared,check", [(2, 1, 1, 1.0), (5, 2, 3, 30.0), (12, 0, 6, 30.0), (12, 1000, 6, 0.0), (12, 1000, 6, 1e6), (20, 4, 20, 5.0)])
+def test_levels_only_steer_the_cost(spark, rows, monkeypatch, classes, rare, shared, check):
+    monkeypatch.setattr(N, "CHECK_COST", check)
     monkeypatch.setattr(N, "CLASSES", classes)
     monkeypatch.setattr(N, "SHARED", shared)
     monkeypatch.setattr(N, "RARE", rare)
@@ -81,3 +83,34 @@ def test_many_copies_are_a_star(spark, monkeypatch):
     rows = [(i, text) for i in range(100)] + [(100, text + "G"), (101, text + "G")]
     got = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, "idx int, sequence string")).collect()}
     assert got == {(0, i) for i in range(1, 102)} | {(100, 101)}
+
+
+def test_levels_follow_the_cost():
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(200)) for _ in range(4)]
+    some = np.where(np.random.default_rng(0).random(N.FREQ_SLOTS) < 0.29, 1, 2)
+    quiet = N.Prefixes(some, 10**6, 0.7, 10).keys(np.arange(4), texts)
+    busy = N.Prefixes(np.full(N.FREQ_SLOTS, 500), 10**6, 0.7, 10).keys(np.arange(4), texts)
+    assert (quiet[4] > 0).all() and (quiet[4] > 1).any()  # few frequent shingles: a longer prefix of single ones, several to be shared
+    assert (busy[4] == 0).all()  # many: pairs
+    assert not len(N.Prefixes(np.ones(N.FREQ_SLOTS, np.int64), 10**6, 0.7, 10).keys(np.arange(4), texts)[0])
+
+
+def test_no_join_is_broadcast(spark, rows):
+    df = spark.createDataFrame(rows, "idx int, sequence string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for got in (N.near_duplicate_pairs(df), N.similar_classes(df), N.near_duplicate_groups(df)):
+            got.collect()
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_classes_and_members_hold_every_pair(spark, rows):
+    df = spark.createDataFrame(rows, "idx int, sequence string")
+    links = {(r["rep_a"], r["rep_b"]) for r in N.similar_classes(df).collect()}
+    rep = {r["id"]: r["rep"] for r in N.near_duplicate_groups(df).collect()}
+    want = {(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in brute(rows) if rep[i] != rep[j]}
+    assert links == want
