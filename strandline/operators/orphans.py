@@ -2,8 +2,8 @@
 
 Parents are folded to one row per key, references to one row per table, key and month with their earliest and latest
 load time; whether a reference was early or came after a withdrawal is decided by those two.  So a key with a third
-of all references is a few rows before anything moves.  Both sides are range-partitioned together by key and sorted,
-parents first; each partition keeps its parents as sorted arrays and probes the references batch by batch.
+of all references is a few rows before anything moves.  Both sides are range-partitioned together by key, into as many
+ranges as PARTITION_ROWS asks for, and sorted, parents first; each partition keeps its parents as sorted arrays and probes the references batch by batch.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from strandline.functions.keys import sample_key
 from strandline.session import durable
 
 NEVER = -(1 << 62)
-PARTITION_KEYS = 200_000  #: keys that a partition should hold at most
+PARTITION_ROWS = 200_000  #: folded rows that a range of keys should hold at most
 
 
 def fold_parents(metadata: DataFrame, col: str, space: str) -> DataFrame:
@@ -78,8 +78,9 @@ def orphan_references(parents: DataFrame, references: DataFrame) -> DataFrame:
     """
     p = parents.select(F.concat_ws("\u0001", "space", "key").alias("k"), F.lit(0).alias("is_ref"), "first_loaded", "last_gone", *[F.lit(None).cast(t).alias(c) for c, t in (("ref_table", "string"), ("key", "string"), ("period", "string"), ("lo", "bigint"), ("hi", "bigint"), ("n", "bigint"))])
     r = references.select(F.concat_ws("\u0001", "space", "key").alias("k"), F.lit(1).alias("is_ref"), F.lit(None).cast("bigint").alias("first_loaded"), F.lit(None).cast("bigint").alias("last_gone"), "ref_table", "key", "period", "lo", "hi", "n")
-    n = int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = durable(p.unionByName(r)).repartitionByRange(n, "k").sortWithinPartitions("is_ref", F.col("k").cast("binary"))
+    both = durable(p.unionByName(r))
+    n = max(int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // PARTITION_ROWS))
+    both = both.repartitionByRange(n, "k").sortWithinPartitions("is_ref", F.col("k").cast("binary"))
     return both.mapInPandas(_probe, "ref_table string, ref_key string, period string, n bigint, kind string").withColumnRenamed("n", "n_rows")
 
 

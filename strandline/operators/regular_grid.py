@@ -14,21 +14,25 @@ from pyspark.sql import functions as F
 from strandline.functions.keys import sample_key
 
 BLOCK_CELLS = 1024
+MOST_CELLS = 100_000_000  #: cells between a source's first and last reading, at most; more raise an error
 
 
 def study_samples(metadata: DataFrame) -> DataFrame:
-    """(source, time, tie) of samples never withdrawn that have a subject and a time; deliveries are not merged."""
-    return metadata.where("withdrawn_at is null and time is not null and not isnan(time)").select(sample_key("subject").alias("source"), F.col("time").alias("t"), sample_key("sampleid").alias("tie")).where("source is not null")
+    """(source, t, tie) of samples never withdrawn that have a subject and a time; deliveries are not merged."""
+    rows = metadata.where("withdrawn_at is null and time is not null and not isnan(time)")
+    rows = rows.select(sample_key("subject").alias("source"), F.col("time").alias("t"), sample_key("sampleid").alias("tie"))
+    return rows.where("source is not null")
 
 
-def regular_grid(readings: DataFrame, step: float = 1.0, gap_limit: float | None = None, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def regular_grid(readings: DataFrame, step: float = 1.0, gap_limit: float | None = None, block_cells: int = BLOCK_CELLS, most_cells: int = MOST_CELLS) -> DataFrame:
     """(source, cell, grid_time, n_readings, value, t_before, t_after, state): one row per source and grid cell.
 
     ``readings`` has (source, t, value); cells run from a source's first to its last, cell = floor(t / step).
     state is 'observed' (value: the mean of the cell's readings), 'filled' (time-weighted line between the readings
     on both sides, at the cell's start) or 'gap' (they are more than ``gap_limit`` apart, or one lacks a value; value NULL).
     Rows without source, or whose t is NULL, NaN or infinite, are left out.  Repeated and tied readings count as given
-    in the mean; of tied nearest readings the mean of their values stands on the line.
+    in the mean; of tied nearest readings the mean of their values stands on the line.  A source of more than
+    ``most_cells`` cells from first to last, as one wrong time can make it, raises an error that names it.
     """
     r = readings.where("source is not null and t is not null and not isnan(t) and abs(t) < double('Infinity')")
     r = r.select("source", F.floor(F.col("t") / F.lit(float(step))).alias("cell"), F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"))
@@ -42,6 +46,9 @@ def regular_grid(readings: DataFrame, step: float = 1.0, gap_limit: float | None
     # borders: what the nearest blocks with readings hold at their ends; one row a block
     ends = cells.groupBy("source", "blk").agg(F.min("cell").alias("c0"), F.max("cell").alias("c1"), F.min_by("head", "cell").alias("first"), F.max_by("tail", "cell").alias("last"))
     line = Window.partitionBy("source").orderBy("blk")
+    first = F.first("c0").over(line)
+    far = F.raise_error(F.concat(F.lit("more cells than most_cells allows in source "), F.col("source").cast("string")))
+    ends = ends.withColumn("blk", F.when(F.col("c1").cast("double") - first < F.lit(most_cells), F.col("blk")).otherwise(far.cast("bigint")))
     ends = ends.withColumn("carried", F.lag("last").over(line)).withColumn("ahead", F.lead("first").over(line)).withColumn("nblk", F.lead("blk").over(line)).withColumn("nc0", F.lead("c0").over(line))
     # the grid: each block's own span, reaching to the next one's first cell; long empty stretches are cut at block edges
     edge = F.lit(block_cells)
@@ -52,7 +59,7 @@ def regular_grid(readings: DataFrame, step: float = 1.0, gap_limit: float | None
         "source", F.explode(F.sequence(F.greatest("c0", F.col("gblk") * edge), F.least("stop", (F.col("gblk") + 1) * edge - 1))).alias("cell"), F.col("blk").alias("part"),
         "gblk", F.when(own, F.col("carried")).otherwise(F.col("last")).alias("carried"), "ahead",
     )
-    got = grid.join(cells.select("source", "cell", "n", "value", "head", "tail"), ["source", "cell"], "left")
+    got = grid.join(cells.select("source", "cell", "n", "value", "head", "tail").hint("merge"), ["source", "cell"], "left")
     up = Window.partitionBy("source", "part", "gblk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("source", "part", "gblk").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
     before = F.coalesce(F.last("tail", True).over(up), "carried")

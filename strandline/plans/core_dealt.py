@@ -40,8 +40,9 @@ def p3_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    grid = regular_grid(study_samples(read_table(spark, d, "metadata")).withColumn("value", F.lit(None).cast("double")))
-    return grid.where("n_readings = 0").select(F.col("source").alias("subject"), F.col("cell").alias("day"))
+    """The days that the merge had to fill from both sides, a sample's time being its own value, or to mark as a gap."""
+    grid = regular_grid(study_samples(read_table(spark, d, "metadata")).withColumn("value", F.col("t")), 1.0, 7.0)
+    return grid.where(F.col("state").isin("filled", "gap")).select(F.col("source").alias("subject"), F.col("cell").alias("day"))
 
 
 def p4_series(spark: SparkSession, d: str) -> DataFrame:

@@ -234,13 +234,23 @@ def m2_residual(s):
     return X.residual(X.response(s), ones, coef).withColumn("r", F.round("r", 6))
 
 
-@study("""select a.t as a, b.t as b, round((1 - corr(a.r, b.r)) / 2, 6) dist from (select t, sample_id, rank() over (partition by t order by v) + (count(*) over (partition by t, v) - 1) / 2.0 r from
-  (select k.t, s.sample_id, coalesce(c.raw, 0) v from (select taxon_idx t from cells group by 1 order by sum(raw) desc, t limit 12) k cross join samples s left join cells c on c.taxon_idx = k.t and c.sample_id = s.sample_id)) a
-  join (select t, sample_id, rank() over (partition by t order by v) + (count(*) over (partition by t, v) - 1) / 2.0 r from
-  (select k.t, s.sample_id, coalesce(c.raw, 0) v from (select taxon_idx t from cells group by 1 order by sum(raw) desc, t limit 12) k cross join samples s left join cells c on c.taxon_idx = k.t and c.sample_id = s.sample_id)) b
-  on a.sample_id = b.sample_id and a.t < b.t where exists (select 1 from cells x join cells y using (sample_id) where x.taxon_idx = a.t and y.taxon_idx = b.t and x.raw > 0 and y.raw > 0) group by 1, 2""")
+#: ranks less the rank of the zeros, d, so that only cells present together add to a product
+_RANKS = """, ns as (select count(*) n from samples),
+v as (select taxon_idx t, raw, count(*) c from cells where raw > 0 group by 1, 2),
+u as (select *, sum(c) over (partition by t order by raw) upto, sum(c) over (partition by t) total from v),
+d as (select t, raw, c, (n - total + 1) / 2.0 r0, n - total + upto - (c - 1) / 2.0 r from u, ns),
+m as (select t, sum(c * (r - r0)) s1, sum(c * (r - r0) * (r - r0)) s2 from d group by 1),
+k as materialized (select c.sample_id, c.taxon_idx t, d.r - d.r0 x from cells c join d on d.t = c.taxon_idx and d.raw = c.raw),
+z as materialized (select a.t a, b.t b, sum(a.x * b.x) xy from k a join k b on a.sample_id = b.sample_id and a.t < b.t group by 1, 2),
+w as (select idx t, s1, s2 - s1 * s1 / n ss, n from taxa left join m on m.t = idx cross join ns)
+select x.t a, y.t b, round(case when x.s1 is null or y.s1 is null then 1.0 when x.ss > 1e-9 and y.ss > 1e-9 then
+  (1 - (coalesce(xy, 0) - x.s1 * y.s1 / x.n) / sqrt(x.ss * y.ss)) / 2 end, 6) dist
+from w x join w y on x.t < y.t left join z on z.a = x.t and z.b = y.t"""
+
+
+@study(_RANKS)
 def j10_spearman(s):
-    """Distances of all pairs of taxa from rank correlation over all samples; the SQL keeps to 12 taxa that share samples."""
+    """Distances of all pairs of taxa from rank correlation over all samples."""
     return X.sparse_spearman(s, s.taxa.select(F.col("idx").alias("taxon_idx"))).withColumn("dist", F.round("dist", 6))
 
 

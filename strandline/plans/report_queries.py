@@ -65,19 +65,20 @@ def c23_coarsen(s):
     return grp.join(label, "grp").select("leaf", "top")
 
 
-_TOP = "(select taxon as name from cells group by 1 order by sum(raw) desc, taxon limit 40)"
-
-
 _SAME = " + ".join("case when " + " and ".join(f'x."{c}" = y."{c}"' for c in LEVELS[: i + 1]) + " then 1 else 0 end" for i in range(6))
 
 
-@study(f"select x.name a, y.name b, 2.0 * (7 - ({_SAME})) dist from taxa x join taxa y on x.name < y.name where x.name in {_TOP} and y.name in {_TOP}")
+@study(f"select x.name a, y.name b, 2.0 * (7 - ({_SAME})) dist from taxa x join taxa y on x.name < y.name")
 def g11_leaf_distances(s):
-    """Path lengths between all taxa; the SQL keeps to the 40 most abundant."""
+    """Path lengths between all taxa."""
     return T.leaf_distances(_lineage_tree(s), s.taxa.select("name"))
 
 
-@study()
+@study(f""", d as (select x.name item, y.name ref, 2.0 * (7 - ({_SAME})) dist from taxa x join taxa y on x.name <> y.name),
+r as materialized (select *, greatest(0, ceil((dist / 4 - 1) / 0.25 - 1e-9)) k from d where dist <= 11),
+n as (select item, s, count(*) c from r, unnest(range(8)) t(s) where k <= s group by 1, 2),
+l as (select item, coalesce(min(case when c > 5 then s end), 7) least from n group by 1)
+select item, ref, dist, 1 + least * 0.25 multiplier from r join l using (item) where k <= least""")
 def k7_reference_leaves(s):
     """References of every taxon, among all taxa, within widening radii."""
     return T.widened_references(_lineage_tree(s), s.taxa.select(F.col("name").alias("item"), F.lit(4.0).alias("radius")))

@@ -98,9 +98,10 @@ def s4_perturbations(s):
     return s.perts.groupBy("name").agg(F.min("pidx").alias("pidx"), F.count_distinct("subject").alias("n_subjects"), F.round(F.min("start"), 6).alias("first_start"), F.round(F.max("end"), 6).alias("last_end"))
 
 
-@study_query("select sample_id, max(case when k = 1 then d end) measurement1, max(case when k = 2 then d end) measurement2, max(case when k = 3 then d end) measurement3 from (select sample_id, round(log10(density), 6) d, row_number() over (partition by sample_id order by rep, reading_id) k from qpcr_c) group by 1")
+@study_query("""pivot (select sample_id, round(log10(density), 6) d, 'measurement' || row_number() over (partition by sample_id order by rep, reading_id) k from qpcr_c)
+  on k using max(d) group by sample_id""")
 def s12_wide_qpcr(s):
-    """The wide replicate table, padded with NULL to the most replicates of any sample; the SQL stops at three."""
+    """The wide replicate table, padded with NULL to the most replicates of any sample."""
     wide = wide_qpcr(s)
     return wide.select(F.col("sampleID").alias("sample_id"), *[lg(c).alias(c) for c in wide.columns if c != "sampleID"])
 
@@ -428,12 +429,10 @@ def w15_fractional_index(s):
     return Q.fractional_index(s.samples, s.perts.select("subject", F.col("start").alias("mark")).distinct()).withColumn("position", F.round("position", 6))
 
 
-_W16 = "select g.subject, g.t as time, s.time is not null given from (select subject, t from (select subject, min(time) lo, max(time) hi from samples group by 1) join (select distinct floor(time) t from samples where time = floor(time)) on t >= lo and t <= hi) g left join samples s on s.subject = g.subject and s.time = g.t"
-
-
-@study_query(_W16)
+@study_query("""select g.subject, g.t as time, s.time is not null given from (select subject, t from (select distinct subject from samples) cross join (select distinct time t from samples)) g
+  left join samples s on s.subject = g.subject and s.time = g.t""")
 def w16_densify(s):
-    """Every subject at the times of all samples; the SQL still keeps to whole days and to each subject's span."""
+    """Every subject at the times of all samples."""
     return Q.densify(s.samples, s.samples)
 
 

@@ -47,6 +47,14 @@ def test_grid_against_brute_force(spark, block, step, limit):
     assert set(got) == want
 
 
+@pytest.mark.parametrize("wrong", [1e15, 1e300, -1e300, 150.0])
+def test_grid_names_a_source_that_is_too_long(spark, wrong):
+    df = spark.createDataFrame([("S1", 0.0, 1.0), ("S1", wrong, 1.0), ("S2", 0.0, 1.0), ("S2", 99.0, 1.0)], "source string, t double, value double")
+    with pytest.raises(Exception, match="most_cells allows in source S1"):
+        regular_grid(df, most_cells=100).collect()
+    assert regular_grid(df.where("source = 'S2'"), most_cells=100).count() == 100
+
+
 def test_grid_empty(spark):
     assert regular_grid(spark.createDataFrame([], "source string, t double, value double")).count() == 0
 
@@ -65,8 +73,11 @@ def test_dyadic_blocks_cover_exactly():
 
 
 def test_merge_blocks():
-    assert merge_blocks(np.array([0, 0, 1, 3, 0]), np.array([4, 5, 3, 0, 20])) == [(0, 8), (20, 21)]
-    assert merge_blocks(np.array([], int), np.array([], int)) == []
+    got = merge_blocks(np.array([0, 0, 1, 3, 0]), np.array([4, 5, 3, 0, 20]))
+    assert [x.tolist() for x in got] == [[0, 20], [8, 21]]
+    assert [len(x) for x in merge_blocks(np.array([], int), np.array([], int))] == [0, 0]
+    got = merge_blocks(np.array([0, 0, 1, 2]), np.array([0, 1, 1, 1]))  # siblings merge above the highest level given
+    assert [x.tolist() for x in got] == [[0], [8]]
 
 
 def islands(rows):
@@ -96,6 +107,18 @@ def test_periods_against_brute_force(spark):
     assert periods_and_gaps(df.limit(0), ["k"], "s", "e").count() == 0
 
 
+def test_periods_of_any_length(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), s := rnd.randint(-(1 << 40), 1 << 40) >> rnd.randint(0, 40), s + max(1, rnd.randint(1, 1 << 38) >> rnd.randint(0, 38))) for _ in range(150)]
+    rows += [("c", -(1 << 62), 1 << 62), ("c", 5, 6), ("d", 0, 1 << 61), ("d", 1 << 61, (1 << 61) + 3), ("d", (1 << 61) + 8200, (1 << 61) + 8201)]
+    rows += [("e", 0, 8192), ("e", 8192, 32768), ("e", 8191, 8193), ("e", 40000, 40001), (None, 0, 1 << 30), (None, 77, 78)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint")
+    got = {tuple(r) for r in periods_and_gaps(df, ["k"], "s", "e").select("kind", "k", "start", "end").collect()}
+    assert got == islands(rows)
+    with pytest.raises(Exception, match="2\\*\\*62"):
+        periods_and_gaps(spark.createDataFrame([("a", 0, (1 << 62) + 1)], "k string, s bigint, e bigint"), ["k"], "s", "e").collect()
+
+
 def test_study_intervals_drop_bad_rows(spark):
     rows = [(" A ", "x1", 0.0, 1.0), ("a", "X1 ", 1.0, 2.0), (None, "x1", 0.0, 1.0), ("x", None, 0.0, 1.0), ("x", "s", math.nan, 1.0), ("x", "s", 0.0, math.inf), ("x", "s", 2.0, 1.0)]
     df = study_intervals(spark.createDataFrame(rows, "name string, subject string, start double, end double"))
