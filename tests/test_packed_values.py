@@ -31,9 +31,29 @@ def test_values(field, want, known):
     assert Segmenter(known).values(field) == want
 
 
-def test_known_values_rank_equal_covers():
-    # the quote is not closed, so its marks are bare; a known value never joins two pieces by itself
-    assert Segmenter(["a, b"]).values("a, b; c") == ["a", "b", "c"]
+def test_known_values_keep_their_marks():
+    assert Segmenter([]).values("Acme, Inc;Foo") == ["Acme", "Inc", "Foo"]
+    assert Segmenter(["Acme, Inc"]).values("Acme, Inc;Foo") == ["Acme, Inc", "Foo"]
+    assert Segmenter(["Acme, Inc"]).values("Acme, Incorporated; xAcme, Inc") == ["Acme", "Incorporated", "xAcme", "Inc"]
+    assert Segmenter(["a, b", "b, c, d"]).values("a, b, c, d") == ["a", "b, c, d"]  # the most letters
+    assert Segmenter(["a, b", "c"]).values('"x, a, b"; a, b, c') == ["x, a, b", "a, b", "c"]
+
+
+ROWS = [
+    (1, '"Acme, Inc"; Foo'), (2, "Acme, Inc; Bar"), (3, "Foo"), (4, "Bar"), (5, '"Foo, Bar"'), (6, "Foo, Bar"),
+    (7, "Baz (x; y) / Foo"), (8, "Baz (x; y)"), (9, "Bar; Acme,  Inc"),
+]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 100])
+def test_dictionary_from_the_column(spark, most):
+    df = spark.createDataFrame(ROWS, "idx int, species string")
+    got = {}
+    for r in sorted(split_packed(df, "idx", "species", max_known=most).collect()):
+        got.setdefault(r["id"], []).append(r["value"])
+    assert got[1] == ["Acme, Inc", "Foo"] and got[2] == ["Acme, Inc", "Bar"]  # quoted once, so known
+    assert got[5] == ["Foo, Bar"] and got[6] == ["Foo", "Bar"]  # both are known by themselves: a list
+    assert got[7] == ["Baz (x; y)", "Foo"] and got[9] == ["Bar", "Acme", "Inc"]
 
 
 def test_clean_value():
