@@ -55,9 +55,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Documents per band, and how many of them the model alone puts there."""
+    """Documents per band, how many the model alone puts there, and how many it was sure of."""
     levels = reading_levels(read_table(spark, d, "documents"))
-    return levels.groupBy("band").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("model_band") == F.col("band")).cast("int")).alias("n_agreed"), F.round(F.avg("level"), 4).alias("mean_level"), F.sum("n_words").alias("n_words"))
+    agreed, sure = (F.sum(c.cast("int")) for c in (F.col("model_band") == F.col("band"), F.col("sure")))
+    return levels.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n_docs"), agreed.alias("n_agreed"), sure.alias("n_sure"), F.round(F.avg("level"), 4).alias("mean_level"), F.sum("n_words").alias("n_words"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -52,9 +52,20 @@ def test_model_learns():
     easy, hard = EASY.split(". "), HARD.split(", ")
     texts = [". ".join(rng.permutation(easy * 3)) + "." for _ in range(40)] + [". ".join(x.capitalize() for x in rng.permutation(hard * 3)) + "." for _ in range(40)]
     model = R.LevelModel().fit(texts[::2])
-    x = R.Sentences(texts[1::2])
-    mean, level, _ = R.document_levels(x, model.probabilities(x), 40)
-    assert np.corrcoef(mean @ model.calibration, level)[0, 1] > 0.9
+    features, level, at = model.profiles(R.Sentences(texts[1::2]), 40)
+    assert len(at) == 40 and np.corrcoef(features @ model.calibration, level)[0, 1] > 0.9
+    assert 0 < model.margin < np.inf
+
+
+def test_a_sure_band_is_the_model_s(spark):
+    rng = np.random.default_rng(1)
+    parts = [x for x in (EASY + HARD + "The laboratory measured three samples daily. Nobody knew why. ").replace("\n\n", " ").split(". ") if x]
+    texts = [". ".join(x.capitalize() for x in rng.choice(parts, 12)) + "." for _ in range(400)]
+    got = R.reading_levels(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sure = [r for r in got if r["sure"]]
+    assert len(got) == 400 and len(sure) > 40 and all(r["band"] == r["model_band"] for r in sure)
+    assert all(r["band"] == exact(texts[r["doc_id"]]) for r in got)
+    assert R.LevelModel().fit([EASY * 3]).margin == np.inf  # nothing held out: the check decides all
 
 
 @pytest.mark.parametrize("text", ["<" * 50_000 + "a", "<a" * 50_000, "a<b " * 1000 + ">"])
