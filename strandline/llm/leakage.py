@@ -4,8 +4,10 @@ A test item leaks when a run of ``run`` successive words of it stands in a docum
 edits.  Each run is split into ``errors + 1`` pieces, one of which must stand unchanged; exact hits of pieces are
 looked up by fingerprint, and around each hit Myers' bit-parallel distance, over words, verifies the whole run.
 
-Items are a query set taken in blocks of bounded size (``BLOCK_ITEMS`` items or ``BLOCK_LETTERS`` letters, about);
-each block's pieces are broadcast and all documents are scanned against them.  Nothing about documents is gathered.
+All documents are read once, however many items there are.  Up to ``INDEX_ITEMS`` items of ``INDEX_LETTERS`` letters
+in all, the pieces are broadcast as one sorted index.  Beyond that a bitmap of ``SLOTS`` slots, of the same size for any
+number of items, passes the places of documents whose fingerprint a piece may have; these are joined to the pieces by
+fingerprint and verified by the same distance.  Nothing about documents is gathered.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.textscan import CHUNK, DIGIT, LETTER, Scan, chunks, plain
+from strandline.session import durable
 
 RUN, ERRORS = 10, 1
-BLOCK_ITEMS, BLOCK_LETTERS = 10_000, 8_000_000
+INDEX_ITEMS, INDEX_LETTERS = 10_000, 8_000_000
+SLOTS = 1 << 22  #: bits of a fingerprint's slot in the bitmap: the upper 22
 PART = 1 << 20  #: letters of a part of a very long text
 _GAP = re.compile(r"[^\W_]()[\W_]")
 
@@ -44,6 +48,10 @@ def fold(h: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def slot(fp: np.ndarray) -> np.ndarray:
+    return (fp >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+
+
 def myers(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Least edit distance of each pattern row to any stretch of its text row (bit-parallel, a bit per word)."""
     n, m = pattern.shape
@@ -75,7 +83,7 @@ class PieceIndex:
     def __init__(self, ids: np.ndarray, texts: list[str], run: int, errors: int):
         self.run, self.errors, self.ids = run, errors, np.asarray(ids, np.int64)
         item, self.words = words_of([plain(t) for t in texts]) if texts else (np.empty(0, np.int64), np.empty(0, np.uint64))
-        self.item = item
+        self.item, self.first = item, np.searchsorted(item, item)  # of every word: its item, and that item's first word
         cut = np.linspace(0, run, errors + 2).astype(int)
         self.widths = sorted(set(np.diff(cut).tolist()))
         start = np.arange(max(0, len(item) - run + 1))
@@ -90,11 +98,11 @@ class PieceIndex:
         fp, at, off, wd = (np.concatenate(x) for x in (fp, at, off, wd))
         order = np.argsort(fp, kind="stable")
         self.fp, self.at, self.off, self.wd = fp[order], at[order], off[order], wd[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.fp >> np.uint64(42)).astype(np.int64)] = True
+        self.seen = np.zeros(SLOTS, bool)
+        self.seen[slot(self.fp)] = True
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, item id, distance, run start) of the runs that stand in the texts."""
+        """(text number, item id, distance, run's first word in its item) of the runs that stand in the texts."""
         doc, h = words_of(texts)
         none = (np.empty(0, np.int64),) * 4
         if not len(h) or not len(self.fp):
@@ -102,7 +110,7 @@ class PieceIndex:
         got = []
         for width in self.widths:
             f = fold(h, width)
-            pos = np.flatnonzero(self.seen[(f >> np.uint64(42)).astype(np.int64)])
+            pos = np.flatnonzero(self.seen[slot(f)])
             f = f[pos]
             lo, hi = np.searchsorted(self.fp, f, "left"), np.searchsorted(self.fp, f, "right")
             n = hi - lo
@@ -126,24 +134,30 @@ class PieceIndex:
             text = np.where(inside & (doc[cols] == d[:, None]), h[cols], np.uint64(0))
             dist = myers(self.words[start[:, None] + np.arange(run)[None, :]], text)
             ok = dist <= e
-            out.append((d[ok], self.ids[self.item[start[ok]]], dist[ok], start[ok]))
+            out.append((d[ok], self.ids[self.item[start[ok]]], dist[ok], start[ok] - self.first[start[ok]]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _doc_chunks(pdf: pd.DataFrame, reach: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(doc_id per text, plain texts) of a batch, very long texts in parts that share ``reach`` words."""
+    rows, texts = [], []
+    for r, t in enumerate(pdf["text"]):
+        parts = parts_of(plain(t), reach)
+        rows += [r] * len(parts)
+        texts += parts
+    ids = pdf["doc_id"].to_numpy()[np.asarray(rows, np.int64)]
+    for first, some in chunks(texts, CHUNK):
+        yield ids[first : first + len(some)], some
+
+
 def _scan(index: PieceIndex):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, texts = [], []
-            for r, t in enumerate(pdf["text"]):
-                parts = parts_of(plain(t), index.run + index.errors)
-                rows += [r] * len(parts)
-                texts += parts
-            rows = np.asarray(rows, np.int64)
             hits = []
-            for first, some in chunks(texts, CHUNK):
+            for ids, some in _doc_chunks(pdf, index.run + index.errors):
                 d, item, dist, at = index.hits(some)
                 if len(d):
-                    hits.append((pdf["doc_id"].to_numpy()[rows[first + d]], item, dist, at))
+                    hits.append((ids[d], item, dist, at))
             if hits:
                 found = pd.DataFrame(dict(zip(("doc_id", "item_id", "dist", "at"), (np.concatenate(c) for c in zip(*hits)))))
                 best = found.groupby(["doc_id", "item_id"], as_index=False).agg(dist=("dist", "min"), runs=("at", "nunique"))
@@ -152,6 +166,89 @@ def _scan(index: PieceIndex):
     return run
 
 
+def _piece_rows(run: int, errors: int):
+    """mapInPandas body: every piece of the items with its run's words."""
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first, some in chunks(pdf["text"].tolist(), CHUNK):
+                x = PieceIndex(pdf["item_id"].to_numpy()[first : first + len(some)], some, run, errors)
+                if not len(x.fp):
+                    continue
+                item = x.item[x.at]
+                words = x.words[x.at[:, None] + np.arange(run)].view(np.int64)
+                yield pd.DataFrame(
+                    {
+                        "fp": x.fp.view(np.int64), "wd": x.wd.astype(np.int32), "off": x.off.astype(np.int32), "item_id": x.ids[item],
+                        "at": (x.at - x.first[x.at]).astype(np.int32), "words": pd.Series(list(words), dtype=object),
+                    }
+                )
+
+    return body
+
+
+def _slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen = np.zeros(SLOTS, bool)
+    for pdf in batches:
+        seen[slot(pdf["fp"].to_numpy(np.int64).view(np.uint64))] = True
+    yield pd.DataFrame({"s": np.flatnonzero(seen).astype(np.int32)})
+
+
+def _places(seen: np.ndarray, run: int, errors: int):
+    """mapInPandas body: the places of documents that pass the bitmap, with the words any run over them can reach."""
+    cut = np.linspace(0, run, errors + 2).astype(int)
+    widths, back = sorted(set(np.diff(cut).tolist())), int(cut[-2]) + errors
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, some in _doc_chunks(pdf, run + errors):
+                doc, h = words_of(some)
+                for width in widths:
+                    f = fold(h, width)
+                    pos = np.flatnonzero(seen[slot(f)])
+                    pos = pos[doc[pos] == doc[pos + width - 1]]
+                    if not len(pos):
+                        continue
+                    cols = pos[:, None] - back + np.arange(back + run + errors)
+                    near = np.clip(cols, 0, len(h) - 1)
+                    inside = (cols >= 0) & (cols < len(h)) & (doc[near] == doc[pos][:, None])
+                    win = np.where(inside, h[near], np.uint64(0)).view(np.int64)
+                    yield pd.DataFrame({"fp": f[pos].view(np.int64), "wd": np.int32(width), "doc_id": ids[doc[pos]], "win": pd.Series(list(win), dtype=object)})
+
+    return body
+
+
+def _verify(run: int, errors: int):
+    back = int(np.linspace(0, run, errors + 2).astype(int)[-2]) + errors
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            words = np.stack(pdf["words"].to_list()).view(np.uint64)
+            first = back - errors - pdf["off"].to_numpy(np.int64)
+            text = np.take_along_axis(np.stack(pdf["win"].to_list()).view(np.uint64), first[:, None] + np.arange(run + 2 * errors), 1)
+            dist = myers(words, text)
+            ok = dist <= errors
+            yield pd.DataFrame({"doc_id": pdf["doc_id"][ok], "item_id": pdf["item_id"][ok], "dist": dist[ok].astype(np.int32), "at": pdf["at"][ok]})
+
+    return body
+
+
+def _joined(docs: DataFrame, q: DataFrame, run: int, errors: int) -> DataFrame:
+    """Leaks by a join of places and pieces, for items of any number."""
+    pieces = durable(q.mapInPandas(_piece_rows(run, errors), "fp bigint, wd int, off int, item_id bigint, at int, words array<bigint>"))
+    slots = pieces.select("fp").mapInPandas(_slots_of, "s int").distinct().toArrow().column("s").to_numpy()  # SLOTS rows at most
+    seen = np.zeros(SLOTS, bool)
+    seen[slots] = True
+    bits = docs.sparkSession.sparkContext.broadcast(seen)
+    places = docs.mapInPandas(lambda it: _places(bits.value, run, errors)(it), "fp bigint, wd int, doc_id bigint, win array<bigint>")
+    met = places.join(pieces.hint("merge"), ["fp", "wd"]).select("doc_id", "item_id", "at", "off", "words", "win")
+    found = met.mapInPandas(_verify(run, errors), "doc_id bigint, item_id bigint, dist int, at int")
+    best = found.groupBy("doc_id", "item_id", "at").agg(F.min("dist").alias("dist"))
+    return best.groupBy("doc_id", "item_id").agg(F.min("dist").alias("dist"), F.count(F.lit(1)).cast("int").alias("runs"))
+
+
 def parts_of(text: str, reach: int) -> list[str]:
     """A very long text in parts that share ``reach`` words, so that no run is lost at a cut."""
     if len(text) <= 2 * PART:
@@ -182,11 +279,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, errors:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     q = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null and item_id is not null")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("s")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["s"] // BLOCK_LETTERS))
-    found = None
-    for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow().to_pandas()
-        index = spark.sparkContext.broadcast(PieceIndex(block["item_id"].to_numpy(), block["text"].tolist(), run, errors))
-        part = docs.mapInPandas(lambda it, index=index: _scan(index.value)(it), "doc_id bigint, item_id bigint, dist int, runs int")
-        found = part if found is None else found.unionByName(part)
+    if size["n"] > INDEX_ITEMS or size["s"] > INDEX_LETTERS:
+        return _joined(docs, q, run, errors)
+    block = q.toArrow().to_pandas()
+    index = spark.sparkContext.broadcast(PieceIndex(block["item_id"].to_numpy(), block["text"].tolist(), run, errors))
+    found = docs.mapInPandas(lambda it: _scan(index.value)(it), "doc_id bigint, item_id bigint, dist int, runs int")
     return found.groupBy("doc_id", "item_id").agg(F.min("dist").alias("dist"), F.max("runs").alias("runs"))

@@ -103,5 +103,21 @@ ORACLE: dict[str, str] = {
       dr as (select doc_id, array_to_string(w[k:k + 9], ' ') r from d, unnest(range(1, len(w) - 8)) u(k)),
       ir as (select item_id, array_to_string(w[k:k + 9], ' ') r from i, unnest(range(1, len(w) - 8)) u(k))
       select distinct doc_id, item_id from dr join ir using (r)""",
+    "p8_near": f"""
+      with d as (select doc_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from documents where text is not null),
+      i as (select item_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from eval_items where text is not null),
+      r as materialized (select distinct item_id, k pos, w[k:k + 9] p, array_to_string(w[k:k + 9], ' ') s from i, unnest(range(1, len(w) - 8)) u(k)),
+      g as (select distinct array_to_string(w[k:k + 3], ' ') x from i, unnest(range(1, len(w) - 2)) u(k)),
+      c as (select doc_id, unnest(range(1, len(w) - 2)) k, unnest(list_transform(range(1, len(w) - 2), lambda k: w[k:k + 10])) c from d),
+      f as (select doc_id, k, c, array_to_string(c[1:4], ' ') in (select x from g) ok from c),
+      m as (select doc_id, c, ok or coalesce(lead(ok, 5) over o or lead(ok, 6) over o or lead(ok, 7) over o, false) m from f window o as (partition by doc_id order by k)),
+      t as materialized (select distinct doc_id, c[1:9] a, c[1:10] b, c from m where m),
+      rk as materialized (select distinct array_to_string(p[1:j - 1] || p[j + 1:], ' ') x, j, s from r, unnest(range(1, 11)) u(j)),
+      e as (
+        select doc_id, s, 0 dist from t join (select distinct s from r) on s = array_to_string(b, ' ')
+        union select doc_id, s, 1 from t join rk on x = array_to_string(a, ' ') where len(a) = 9
+        union select doc_id, s, 1 from (select doc_id, j, array_to_string(b[1:j - 1] || b[j + 1:], ' ') x from t, unnest(range(1, 11)) u(j) where len(b) = 10) join rk using (x, j)
+        union select doc_id, s, 1 from (select doc_id, array_to_string(c[1:j - 1] || c[j + 1:], ' ') x from t, unnest(range(1, 12)) u(j) where len(c) = 11) join (select distinct s from r) on s = x)
+      select doc_id, item_id, cast(min(dist) as int) dist, cast(count(distinct pos) as int) runs from e join r using (s) group by 1, 2""",
     "p9_found": _LEVELS + "select doc_id, band from b",
 }

@@ -58,11 +58,47 @@ def test_exact_leaks(spark, tables, monkeypatch):
     assert len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
 
 
-def test_blocks_of_items(spark, tables, monkeypatch):
+def near(docs, items, run=10):
+    """{(doc, item): (dist, runs)} with up to one word edited, from sets of stretches."""
+    cut = lambda t, k: t[:k] + t[k + 1 :]
+    out = {}
+    for d, t in docs:
+        w = words(t) if t is not None else []
+        grams = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in (run - 1, run, run + 1)}
+        swapped = {(k, cut(g, k)) for g in grams[run] for k in range(run)}
+        longer = {cut(g, k) for g in grams[run + 1] for k in range(run + 1)}
+        for i, s in items:
+            v = words(s) if s is not None else []
+            for k in range(len(v) - run + 1):
+                p = tuple(v[k : k + run])
+                if p in grams[run]:
+                    dist = 0
+                elif p in longer or any(cut(p, j) in grams[run - 1] or (j, cut(p, j)) in swapped for j in range(run)):
+                    dist = 1
+                else:
+                    continue
+                least, runs = out.get((d, i), (1, 0))
+                out[d, i] = (min(least, dist), runs + 1)
+    return out
+
+
+@pytest.mark.parametrize("most", [7, 10_000])
+def test_any_number_of_items_and_random_edits(spark, tables, monkeypatch, most):
+    """Whether the index is broadcast or joined: every leak with up to one edited word, and no other."""
+    monkeypatch.setattr(L, "INDEX_ITEMS", most)
     docs, items = tables
-    monkeypatch.setattr(L, "BLOCK_ITEMS", 7)
+    docs = [x for x in docs if x[0] not in (3, 105)]
+    rnd = random.Random(2)
+    for d in range(200, 300):
+        w = words(items[rnd.randrange(20)][1])
+        for _ in range(rnd.randint(1, 3)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.randint(0, 1)] = rnd.choice([[], ["edit"], ["w1"]])
+        docs.append((d, " ".join(["pre"] * rnd.randint(0, 2) + w + ["post"] * rnd.randint(0, 2))))
+    want = near(docs, items)
+    assert sum(d for d, _ in want.values()) > 10
     got = L.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {(r["doc_id"], r["item_id"]) for r in got.where("dist = 0").collect()} == brute(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["dist"], r["runs"]) for r in got.collect()} == want
 
 
 def test_one_edited_word_is_found(spark):
@@ -72,7 +108,9 @@ def test_one_edited_word_is_found(spark):
     assert {r["doc_id"]: r["dist"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 5: 0}
 
 
-def test_empty(spark):
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_empty(spark, monkeypatch, most):
+    monkeypatch.setattr(L, "INDEX_ITEMS", most)
     d, q = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert L.leaked_items(d.limit(0), q).count() == L.leaked_items(d, q.limit(0)).count() == L.leaked_items(d, q).count() == 0
 
