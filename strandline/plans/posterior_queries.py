@@ -22,10 +22,10 @@ ORACLE: dict[str, str] = {}
 
 BASE = f"""
 with v as (select vec_id % 4 chain, vec_id // 4 gibbs, embedding, label, vec_id from embeddings),
-e as (select chain, gibbs, (k - 1) // 8 tgt, (k - 1) % 8 src, cast(embedding[k] as double) x from v, unnest(range(1, 65)) u(k)),
-edge as (select chain, gibbs, tgt, src, case when abs(x) >= {OFF} then x end as value from e where tgt <> src),
-growth as (select chain, gibbs, tgt idx, abs(x) + 0.1 as value from e where tgt = src),
-assign as (select chain, gibbs, tgt item, max(src) filter (src < 4 and x = mx) cid from (select *, max(case when src < 4 then x end) over (partition by chain, gibbs, tgt) mx from e) group by 1, 2, 3),
+e as materialized (select chain, gibbs, (k - 1) // 8 tgt, (k - 1) % 8 src, cast(embedding[k] as double) x from v, unnest(range(1, 65)) u(k)),
+edge as materialized (select chain, gibbs, tgt, src, case when abs(x) >= {OFF} then x end as value from e where tgt <> src),
+growth as materialized (select chain, gibbs, tgt idx, abs(x) + 0.1 as value from e where tgt = src),
+assign as materialized (select chain, gibbs, tgt item, max(src) filter (src < 4 and x = mx) cid from (select *, max(case when src < 4 then x end) over (partition by chain, gibbs, tgt) mx from e) group by 1, 2, 3),
 scalar as (select user_id % 4 chain, event_type as var, row_number() over (partition by user_id % 4, event_type order by event_id) - 1 gibbs, value from events)
 """
 
