@@ -108,7 +108,7 @@ ORACLE: dict[str, str] = {
       i as (select item_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from eval_items where text is not null),
       r as materialized (select distinct item_id, k pos, w[k:k + 9] p, array_to_string(w[k:k + 9], ' ') s from i, unnest(range(1, len(w) - 8)) u(k)),
       g as (select distinct array_to_string(w[k:k + 3], ' ') x from i, unnest(range(1, len(w) - 2)) u(k)),
-      c as (select doc_id, unnest(range(1, len(w) - 2)) k, unnest(list_transform(range(1, len(w) - 2), lambda k: w[k:k + 10])) c from d),
+      c as (select doc_id, k, w[k:k + 10] c from d, unnest(range(1, len(w) - 2)) u(k)),
       f as (select doc_id, k, c, array_to_string(c[1:4], ' ') in (select x from g) ok from c),
       m as (select doc_id, c, ok or coalesce(lead(ok, 5) over o or lead(ok, 6) over o or lead(ok, 7) over o, false) m from f window o as (partition by doc_id order by k)),
       t as materialized (select distinct doc_id, c[1:9] a, c[1:10] b, c from m where m),
