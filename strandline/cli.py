@@ -41,27 +41,39 @@ def filter_taxa(a, spark):
 
 def infer_negbin(a, spark):
     """Calibrates the read noise from the samples of replicate subjects."""
-    import numpy as np
-
     from strandline.inference.run import calibrate_noise
 
-    wide = S.wide_counts(_study(a, spark)).toPandas().drop(columns="name").to_numpy(np.int64).T
-    calibrate_noise(spark, wide, a.seed, a.chains, a.burnin, a.n_samples).write.mode("overwrite").parquet(a.out)
+    from strandline.inference.data import replicate_reads
+
+    groups = replicate_reads(_study(a, spark))  # one matrix a subject: its samples are replicates of one community
+    calibrate_noise(spark, groups, a.seed, a.chains, a.burnin, a.n_samples).write.mode("overwrite").parquet(a.out)
 
 
 def infer(a, spark):
-    """Runs the chains; writes their trace."""
+    """Runs the chains, each block of draws committed to the trace; the same call goes on with a run that broke off."""
     from strandline.inference.data import observe
     from strandline.inference.gibbs import Config
-    from strandline.inference.run import infer as run
-    from strandline.inference.run import resumed
+    from strandline.inference.run import infer_to
 
     obs = observe(_study(a, spark))
     clusters = "none" if a.nomodules or obs.n <= a.singletons_up_to else "sampled"
-    cfg = Config(seed=a.seed, burnin=a.burnin, n_samples=a.n_samples, checkpoint=a.checkpoint, a0=a.negbin[0], a1=a.negbin[1 if len(a.negbin) > 1 else 0], clusters=clusters)
-    old = spark.read.parquet(a.resume) if a.resume else None
-    got = resumed(spark, obs, cfg, old, a.n_samples, a.chains) if a.resume else run(spark, obs, cfg, a.chains)
-    got.write.mode("overwrite").parquet(a.out)
+    fixed: tuple[int, ...] = ()
+    if a.fixed_clustering:
+        table = S.read_clustering(spark, a.fixed_clustering)
+        clusters, fixed = "fixed", S.clustering_of(table, obs.taxa)
+    a0, a1 = _noise(spark, a.negbin)
+    cfg = Config(seed=a.seed, burnin=a.burnin, n_samples=a.n_samples, checkpoint=a.checkpoint, a0=a0, a1=a1, clusters=clusters, fixed=fixed)
+    infer_to(spark, obs, cfg, a.out, a.chains)
+
+
+def _noise(spark, given):
+    """a0 and a1 of two numbers, or the posterior means of a calibration's trace."""
+    if len(given) == 2:
+        return float(given[0]), float(given[1])
+    if len(given) != 1:
+        raise ValueError("--negbin takes a0 and a1, or the folder of a calibration")
+    mean = {r["var"]: r["m"] for r in spark.read.parquet(given[0]).groupBy("var").agg(F.avg("value").alias("m")).collect()}
+    return mean["a0"], mean["a1"]
 
 
 def _edges(trace):
@@ -77,14 +89,20 @@ def extract_posterior(a, spark):
     trace = P.section(spark.read.parquet(a.trace).where("var <> 'state'"), a.burnin)
     vector = trace.where("var in ('growth', 'self_interaction')")
     scalar = trace.where("i is null")
+    lengths = _draws(trace).withColumn("n", F.col("n") - a.burnin)
+    n = sum(r["n"] for r in lengths.collect())  # a row a chain; edges and perturbations that are off have no row
+    late = lambda t: t.withColumn("gibbs", F.col("gibbs") - a.burnin)
+    edges = _edges(trace)
+    effects = trace.where("var = 'perturbation'").select("chain", "gibbs", F.col("i").alias("item"), F.col("j").alias("pert"), "value")
     out = {
-        "vectors": P.summary(vector, ["var", "i"]), "scalars": P.summary(scalar, ["var"]), "edges": P.summary(_edges(trace), ["tgt", "src"]),
-        "scalars_rhat": P.split_r_hat(scalar.withColumn("gibbs", F.col("gibbs") - a.burnin), ["var"], _draws(trace).withColumn("n", F.col("n") - a.burnin)),
+        "vectors": P.summary(vector, ["var", "i"]), "scalars": P.summary(scalar, ["var"]), "edges": P.summary(edges, ["tgt", "src"], draws=n),
+        "perturbations": P.summary(effects, ["item", "pert"], draws=n),
+        "scalars_rhat": P.split_r_hat(late(scalar), ["var"], lengths), "vectors_rhat": P.split_r_hat(late(vector), ["var", "i"], lengths),
+        "edges_rhat": P.split_r_hat(late(edges), ["tgt", "src"], lengths), "perturbations_rhat": P.split_r_hat(late(effects), ["item", "pert"], lengths),
         "coclusters": P.coclusters(trace.where("var = 'cluster'").select("chain", "gibbs", F.col("i").alias("item"), F.col("value").cast("bigint").alias("cid"))),
+        "bayes_factors": P.bayes_factors(edges, ["tgt", "src"], a.prior_a, a.prior_b, draws=n),
+        "perturbation_bayes_factors": P.bayes_factors(effects, ["item", "pert"], a.prior_a, a.prior_b, draws=n),
     }
-    n = trace.where("var = 'growth' and i = 0").count()  # draws; edges that are off have no row
-    on = _edges(trace).groupBy("tgt", "src").agg(F.count(F.lit(1)).alias("n_on")).withColumn("n_off", F.lit(n) - F.col("n_on"))
-    out["bayes_factors"] = on.withColumn("bf", F.when(F.col("n_off") == 0, F.lit(float("inf"))).otherwise(F.col("n_on") * a.prior_b / (F.col("n_off") * a.prior_a)))
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{a.out}/{name}")
 
@@ -99,7 +117,15 @@ def extract_abundances(a, spark):
 
 def _params(trace):
     cols = ["chain", "gibbs", F.col("i").alias("idx"), "value"]
-    return K.draws(trace.where("var = 'growth'").select(*cols), trace.where("var = 'self_interaction'").select(*cols), _edges(trace))
+    effects = trace.where("var = 'perturbation'").select(*cols, F.col("j").alias("pert"))
+    return K.draws(trace.where("var = 'growth'").select(*cols), trace.where("var = 'self_interaction'").select(*cols), _edges(trace), effects)
+
+
+def _windows(study, subject):
+    """(perturbation, start, end) of a subject; perturbations count by their name's order among all, as in the trace."""
+    names = sorted(r["name"] for r in study.perts.select("name").distinct().collect())  # a row a perturbation
+    mine = study.perts.where(F.col("subject") == subject).orderBy("start", "end").collect()  # of one subject
+    return [(names.index(r["name"]), float(r["start"]), float(r["end"])) for r in mine]
 
 
 def _initial(a, spark):
@@ -108,11 +134,12 @@ def _initial(a, spark):
 
 
 def forward_simulate(a, spark):
-    """Trajectories of every posterior draw."""
+    """Trajectories of every posterior draw; with --subject, under that subject's perturbations."""
     import numpy as np
 
     trace = P.section(spark.read.parquet(a.trace).where("var <> 'state'"), a.burnin)
-    K.forward_simulate(_params(trace), np.array(_initial(a, spark)), a.dt, a.n_days, ceiling=a.sim_max, noise=a.noise).write.mode("overwrite").parquet(a.out)
+    windows = _windows(_study(a, spark), a.subject) if a.subject else []
+    K.forward_simulate(_params(trace), np.array(_initial(a, spark)), a.dt, a.n_days, ceiling=a.sim_max, noise=a.noise, windows=windows).write.mode("overwrite").parquet(a.out)
 
 
 def evaluate_keystoneness(a, spark):
@@ -151,8 +178,9 @@ def interaction_to_cytoscape(a, spark):
     trace = P.section(spark.read.parquet(a.trace).where("var <> 'state'"), a.burnin)
     edges = _edges(trace)
     n = trace.where("var = 'growth' and i = 0").count()
-    on = edges.groupBy("tgt", "src").agg(F.count(F.lit(1)).alias("n_on"), (F.sum("value") / n).alias("weight"), F.sum(F.signum("value")).cast("bigint").alias("sign"))
-    bf = on.withColumn("bf", F.when(F.col("n_on") == n, F.lit(1e9)).otherwise(F.col("n_on") / (F.lit(n) - F.col("n_on"))))
+    odds = P.bayes_factors(edges, ["tgt", "src"], a.prior_a, a.prior_b, draws=n)
+    weight = edges.groupBy("tgt", "src").agg((F.sum("value") / n).alias("weight"), F.sum(F.signum("value")).cast("bigint").alias("sign"))
+    bf = odds.join(weight, ["tgt", "src"])
     nodes = trace.where("var = 'growth'").groupBy(F.col("i").alias("id")).agg(F.lit(1).alias("size"))
     P.network_json(bf, nodes).select("json").write.mode("overwrite").text(a.out)
 
@@ -187,15 +215,15 @@ def parser() -> argparse.ArgumentParser:
     command("parse-input", parse_input, ("--folder", need), ("--sep", {"default": "\t"}))
     command("filter", filter_taxa, study, ("--other", {}), ("--dtype", {"default": "rel", "choices": ["raw", "rel", "abs"]}), ("--threshold", num(1e-4)), ("--min-num-consecutive", count(5)), ("--min-num-subjects", count(1)), ("--colonization-time", num(0.0)), ("--max-n-taxa", count(0)))
     command("infer-negbin", infer_negbin, study, *run)
-    command("infer", infer, study, *run, ("--checkpoint", count(50)), ("--negbin", {"type": float, "nargs": "+", "default": [1e-10, 0.1]}), ("--nomodules", {"action": "store_true"}), ("--singletons-up-to", count(30)), ("--resume", {}))
+    command("infer", infer, study, *run, ("--checkpoint", count(50)), ("--negbin", {"nargs": "+", "default": ["1e-10", "0.1"]}), ("--nomodules", {"action": "store_true"}), ("--singletons-up-to", count(30)), ("--fixed-clustering", {}))
     command("extract-posterior", extract_posterior, *post)
     command("extract-abundances", extract_abundances, study, ("--time", {"type": float, "required": True}), ("--dtype", {"default": "abs"}), ("--limit-of-detection", num(1e5)))
-    command("forward-simulate", forward_simulate, study, trace, *sim, ("--noise", num(0.0)))
+    command("forward-simulate", forward_simulate, study, trace, *sim, ("--noise", num(0.0)), ("--subject", {}))
     command("evaluate-keystoneness", evaluate_keystoneness, study, trace, ("--clusters", need), *sim)
     command("visualize-posterior", visualize_posterior, *post)
     command("visualize-negbin", visualize_negbin, trace, ("--burnin", count(0)))
     command("plot-subjects", plot_subjects, study, ("--level", {"default": "family"}))
-    command("interaction-to-cytoscape", interaction_to_cytoscape, trace, ("--burnin", count(0)))
+    command("interaction-to-cytoscape", interaction_to_cytoscape, *post)
     command("render-phylogeny", render_phylogeny, study, ("--tree", need), ("--radius", num(0.1)))
     return p
 

@@ -1,4 +1,4 @@
-"""Calibration of the read noise: dispersion a0 / rel + a1 from replicates, by tuned Metropolis steps."""
+"""Calibration of the read noise: dispersion a0 / rel + a1 from replicates with latent abundances, by tuned Metropolis steps."""
 
 from __future__ import annotations
 
@@ -6,50 +6,60 @@ import numpy as np
 
 from strandline.functions.distributions import generator, negbin_logpmf
 
+PRIOR_SD = 1.0  #: of a log relative abundance around its replicates' mean
 
-def tuned_metropolis(log_density, start: float, rng, draws: int, burnin: int, scale: float = 0.3, target: float = 0.44, every: int = 50) -> np.ndarray:
-    """A walk in ln of a positive parameter; the step is tuned by 1.5 until half of the burn-in is over."""
-    x, now = start, log_density(start)
-    out, taken = np.empty(draws), 0
-    for g in range(draws):
-        new = x * np.exp(scale * rng.standard_normal())
-        then = log_density(new)
-        if np.log(rng.random()) < then - now + np.log(new) - np.log(x):
-            x, now, taken = new, then, taken + 1
-        out[g] = x
-        if (g + 1) % every == 0 and g < burnin // 2:
-            scale *= 1.5 if taken / every > target else 1 / 1.5
-            taken = 0
-    return out
-
-
-def calibrate(reads: np.ndarray, seed: int = 0, chain: int = 0, burnin: int = 400, n_samples: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """Draws of (a0, a1) from replicate reads (replicates, taxa) of one community; taxa never read are left out."""
+
+def tuned(scale: np.ndarray, taken: np.ndarray, tries: int, target: float = 0.44) -> np.ndarray:
+    """Steps made longer or shorter by half, towards the share of accepted ones."""
+    return scale * np.where(taken / tries > target, 1.5, 1 / 1.5)
+
+
+def calibrate(reads: np.ndarray | list[np.ndarray], seed: int = 0, chain: int = 0, burnin: int = 400, n_samples: int = 1000, every: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Draws of (a0, a1) from replicate reads, a matrix (replicates, taxa) for each community.
+
+    The communities' relative abundances are latent: each taxon's is walked in its logarithm, its prior a normal around
+    the replicates' mean share; given them a0 and a1 are walked in theirs.  Taxa never read are left out.
+    """
     rng = generator(seed, "negbin", chain)
-    reads = reads[:, reads.sum(0) > 0]
-    depth = reads.sum(1, keepdims=True)
-    rel = np.maximum((reads / depth).mean(0), 1e-9)
-    mean = depth * rel
+    groups = [reads] if isinstance(reads, np.ndarray) else reads
+    groups = [r[:, r.sum(0) > 0] for r in groups if r.sum() > 0]
+    depth = [r.sum(1, keepdims=True) for r in groups]
+    centre = [np.log(np.maximum((r / np.maximum(d, 1)).mean(0), 1e-9)) for r, d in zip(groups, depth)]
+    log_rel = [c.copy() for c in centre]
     state = np.array([1e-6, 0.1])
     out = np.empty((n_samples, 2))
     scale, taken = np.array([1.0, 0.5]), np.zeros(2)
+    walk, moved = [np.full(len(c), 0.3) for c in centre], [np.zeros(len(c)) for c in centre]
+
+    def per_taxon(k: int, lr: np.ndarray, a: np.ndarray) -> np.ndarray:
+        rel = np.exp(lr)
+        prior = -0.5 * ((lr - centre[k]) / PRIOR_SD) ** 2
+        return negbin_logpmf(groups[k], depth[k] * rel, a[0] / rel + a[1]).sum(0) + prior
 
-    def density(a) -> float:
-        if not (0 < a[0] < 1e5 and 0 < a[1] < 1e5):
+    def total(a: np.ndarray) -> float:
+        if not ((a > 0) & (a < 1e5)).all():
             return -np.inf
-        return float(negbin_logpmf(reads, mean, a[0] / rel + a[1]).sum())
+        return float(sum(per_taxon(k, lr, a).sum() for k, lr in enumerate(log_rel)))
 
-    now = density(state)
     for g in range(n_samples):
+        for k, lr in enumerate(log_rel):  # taxa of a community are independent given a0 and a1
+            new = lr + walk[k] * rng.standard_normal(len(lr))
+            ok = np.log(rng.random(len(lr))) < per_taxon(k, new, state) - per_taxon(k, lr, state)
+            lr[ok] = new[ok]
+            moved[k] += ok
+        now = total(state)
         for j in (0, 1):
             new = state.copy()
             new[j] *= np.exp(scale[j] * rng.standard_normal())
-            then = density(new)
+            then = total(new)
             if np.log(rng.random()) < then - now + np.log(new[j]) - np.log(state[j]):
                 state, now = new, then
                 taken[j] += 1
         out[g] = state
-        if (g + 1) % 50 == 0 and g < burnin // 2:
-            scale *= np.where(taken / 50 > 0.44, 1.5, 1 / 1.5)
+        if (g + 1) % every == 0:
+            if g < burnin // 2:
+                scale, walk = tuned(scale, taken, every), [tuned(w, m, every) for w, m in zip(walk, moved)]
             taken[:] = 0
+            for m in moved:
+                m[:] = 0
     return out[:, 0], out[:, 1]

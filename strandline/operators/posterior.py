@@ -1,7 +1,7 @@
 """Posterior analytics over trace tables: summaries, Bayes factors, convergence, clusters, networks.
 
-Traces are long: NULL values mean an indicator that is off.  ``trace_meta`` counts the draws, so sparse edge traces
-(rows of NULL not stored) and dense ones give the same answers.
+Traces are long: a NULL value means an indicator that is off.  The sampler stores no row for those; with the number of
+draws given (``draws``, or ``lengths`` per chain) such sparse traces and dense ones give the same answers.
 """
 
 from __future__ import annotations
@@ -19,10 +19,21 @@ def section(trace: DataFrame, burnin: int, part: str = "posterior") -> DataFrame
     return trace.where(F.col("gibbs") >= burnin) if part == "posterior" else trace.where(F.col("gibbs") < burnin)
 
 
-def summary(trace: DataFrame, by: list[str], value: str = "value", nan_to_zero: bool = False) -> DataFrame:
-    """mean, median, p25, p75 per key over the values that are on; with ``nan_to_zero`` off counts as 0."""
-    x = F.coalesce(F.col(value), F.lit(0.0)) if nan_to_zero else F.col(value)
-    got = trace.groupBy(*by).agg(F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+def summary(trace: DataFrame, by: list[str], value: str = "value", nan_to_zero: bool = False, draws: int | None = None) -> DataFrame:
+    """mean, median, p25, p75 per key over the values that are on; with ``nan_to_zero`` off counts as 0.
+
+    With ``draws`` every key counts that many draws, those without a row as 0.
+    """
+    rows = trace.select(*by, F.col(value).alias("_x"), F.lit(1).cast("bigint").alias("_f"))
+    if draws is not None:
+        rows = rows.where("_x is not null")
+        off = rows.groupBy(*by).agg((F.lit(draws) - F.count(F.lit(1))).alias("_f")).where("_f > 0")
+        rows = rows.unionByName(off.select(*by, F.lit(0.0).alias("_x"), "_f"))
+    elif nan_to_zero:
+        rows = rows.withColumn("_x", F.coalesce("_x", F.lit(0.0)))
+    n = F.sum(F.when(F.col("_x").isNotNull(), F.col("_f")))
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    got = rows.groupBy(*by).agg((F.sum(F.col("_x") * F.col("_f")) / n).alias("mean"), F.percentile(F.col("_x"), shares, F.col("_f")).alias("p"))
     zero = F.lit(0.0)
     return got.select(*by, F.coalesce("mean", zero).alias("mean"), *[F.coalesce(F.col("p")[i], zero).alias(n) for i, n in enumerate(("p25", "median", "p75"))])
 
@@ -32,9 +43,13 @@ def quantiles(trace: DataFrame, by: list[str], probabilities: list[float], value
     return got.select(*by, *[F.col("p")[i].alias(f"q{str(q).replace('.', '_')}") for i, q in enumerate(probabilities)])
 
 
-def bayes_factors(trace: DataFrame, by: list[str], a: float, b: float, value: str = "value") -> DataFrame:
-    """(by, n_on, n_off, bf): (on * b) / (off * a); infinite where nothing is off."""
-    got = trace.groupBy(*by).agg(F.count(value).alias("n_on"), (F.count(F.lit(1)) - F.count(value)).alias("n_off"))
+def bayes_factors(trace: DataFrame, by: list[str], a: float, b: float, value: str = "value", draws: int | None = None) -> DataFrame:
+    """(by, n_on, n_off, bf): (on * b) / (off * a); infinite where nothing is off.
+
+    ``draws`` counts the draws of a sparse trace; without it every draw must have a row.
+    """
+    every = F.count(F.lit(1)) if draws is None else F.lit(draws).cast("bigint")
+    got = trace.groupBy(*by).agg(F.count(value).alias("n_on"), (every - F.count(value)).alias("n_off"))
     return got.withColumn("bf", F.when(F.col("n_off") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("n_on") * b, F.col("n_off") * a)))
 
 
@@ -81,17 +96,31 @@ def variation_of_information(df: DataFrame, x: str, y: str) -> DataFrame:
     return cells.join(total).agg(F.abs(F.sum(r / F.col("n") * (F.ln(r / F.col("px")) + F.ln(r / F.col("py"))))).alias("vi"))
 
 
-def chain_moments(trace: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+def chain_moments(trace: DataFrame, by: list[str], value: str = "value", lengths: DataFrame | None = None) -> DataFrame:
+    """(chain, by, n, m, s2) with NULL as 0; ``lengths`` (chain, n) counts draws that a sparse trace has no row for."""
     x = F.coalesce(F.col(value), F.lit(0.0))
-    return trace.groupBy("chain", *by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("s2"))
-
-
-def r_hat(trace: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    got = trace.groupBy("chain", *by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("s2"), F.var_pop(x).alias("_v"))
+    if lengths is None:
+        return got.drop("_v")
+    chains = [F.struct(F.lit(r["chain"]).alias("c"), F.lit(r["n"]).cast("bigint").alias("n")) for r in lengths.collect()]  # a row a chain
+    every = trace.select(*by).distinct().select(*by, F.explode(F.array(*chains)).alias("z")).select(*by, F.col("z.c").alias("_c"), F.col("z.n").alias("_n"))
+    same = F.col("chain") == F.col("_c")
+    for k in by:
+        got = got.withColumnRenamed(k, f"_k_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    k, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0.0))
+    mean = k * m / F.col("_n")
+    squares = k * F.coalesce("_v", F.lit(0.0)) + k * (m - mean) * (m - mean) + (F.col("_n") - k) * mean * mean
+    return every.join(got, same, "left").select(F.col("_c").alias("chain"), *by, F.col("_n").alias("n"), mean.alias("m"), F.try_divide(squares, F.col("_n") - 1).alias("s2"))
+
+
+def r_hat(trace: DataFrame, by: list[str], value: str = "value", lengths: DataFrame | None = None) -> DataFrame:
     """(by, w, b, rhat): Brooks and Gelman's, with the degrees-of-freedom correction; NULL counts as 0.
 
     Chains are taken at the length of the shortest one's count in the formula; they should be of one length.
+    ``lengths`` (chain, n) counts the draws of a sparse trace.
     """
-    m = chain_moments(trace, by, value)
+    m = chain_moments(trace, by, value, lengths)
     sq = F.col("m") * F.col("m")
     got = m.groupBy(*by).agg(
         F.min("n").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("k"), F.avg("s2").alias("w"), F.var_samp("m").alias("vm"), F.avg("m").alias("xbar"),
@@ -108,11 +137,15 @@ def r_hat(trace: DataFrame, by: list[str], value: str = "value") -> DataFrame:
 
 
 def split_r_hat(trace: DataFrame, by: list[str], lengths: DataFrame, value: str = "value") -> DataFrame:
-    """(by, rhat): each chain halved, an odd last draw dropped; ``lengths`` is (chain, n)."""
+    """(by, rhat): each chain halved, an odd last draw dropped; ``lengths`` is (chain, n).
+
+    Draws without a row count as 0, so sparse traces are taken as they are.
+    """
     half = F.floor(F.col("len") / 2)
     rows = trace.join(lengths.withColumnRenamed("n", "len"), "chain").where(F.col("gibbs") < 2 * half)
     rows = rows.withColumn("chain", F.col("chain") * 2 + (F.col("gibbs") >= half).cast("int"))
-    m = chain_moments(rows, by, value).groupBy(*by).agg(F.min("n").cast("double").alias("n"), F.avg("s2").alias("w"), F.var_samp("m").alias("vm"))
+    halves = lengths.select(F.explode(F.array(F.col("chain") * 2, F.col("chain") * 2 + 1)).alias("chain"), F.floor(F.col("n") / 2).alias("n"))
+    m = chain_moments(rows, by, value, halves).groupBy(*by).agg(F.min("n").cast("double").alias("n"), F.avg("s2").alias("w"), F.var_samp("m").alias("vm"))
     return m.select(*by, F.sqrt(((1 - 1 / F.col("n")) * F.col("w") + F.col("vm")) / F.col("w")).alias("rhat"))
 
 

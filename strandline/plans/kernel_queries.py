@@ -83,6 +83,32 @@ def d5_forward_simulate(t):
 
 ORACLE["d5_forward_simulate"] = _recursion(f"{START}::double[]", 20) + " select chain, gibbs, k * 0.1 as time, cast(i - 1 as int) taxon, round(x[i], 6) x from sim, unnest(range(1, 9)) u(i) where k % 10 = 0"
 
+#: (perturbation, start, end) of a subject, on grid times in [start, end); of two that overlap the later counts
+_WINDOWS = [(0, 0.5, 1.3), (1, 1.1, 1.5)]
+
+
+@traces()
+def d5_forward_simulate_perturbed(t):
+    """Each draw's own effects of two perturbations, the interactions with the next and the next but one item."""
+    own = t.cells.where("src = (tgt + 1) % 8 or src = (tgt + 2) % 8").where(F.abs("x") >= PQ.OFF)
+    effects = own.select("chain", "gibbs", F.col("tgt").alias("idx"), (F.col("src") != (F.col("tgt") + 1) % 8).cast("int").alias("pert"), F.col("x").alias("value"))
+    diag = t.cells.where("tgt = src").select("chain", "gibbs", F.col("tgt").alias("idx"), F.abs("x").alias("value"))
+    sim = K.forward_simulate(K.draws(t.growth, diag, t.edge, effects), np.array(START), DT, DAYS, windows=_WINDOWS)
+    return sim.select("chain", "gibbs", "time", "taxon", F.round("x", 6).alias("x"))
+
+
+_EFFECT = "case when abs(a0[(i - 1) * 8 + (i + {0} - 1) % 8 + 1]) >= 0.05 then a0[(i - 1) * 8 + (i + {0} - 1) % 8 + 1] else 0 end"
+ORACLE["d5_forward_simulate_perturbed"] = (
+    PQ.BASE.replace("with v as", "with recursive v as", 1)
+    + _PARAMS
+    + f""", raw as (select chain, gibbs, list(x order by tgt, src) a0 from e group by 1, 2),
+      pin as (select *, list_transform(range(1, 9), lambda i: {_EFFECT.format(1)}) p0, list_transform(range(1, 9), lambda i: {_EFFECT.format(2)}) p1 from recursive_in join raw using (chain, gibbs)),
+      sim as (select chain, gibbs, g, a, p0, p1, 0 k, {START}::double[] x from pin union all
+      select chain, gibbs, g, a, p0, p1, k + 1, list_transform(range(1, 9), lambda i: least(1e20, x[i] * exp({DT} * (g[i] * (1 + case when k between 11 and 14 then p1[i] when k between 5 and 12 then p0[i] else 0 end)
+        + list_sum(list_transform(range(1, 9), lambda j: a[(i - 1) * 8 + j] * x[j]))))))
+      from sim where k < 20) select chain, gibbs, k * 0.1 as time, cast(i - 1 as int) taxon, round(x[i], 6) x from sim, unnest(range(1, 9)) u(i) where k % 10 = 0"""
+)
+
 _EX = {0: [0, 3, 6], 1: [1, 4, 7], 2: [2, 5]}
 
 

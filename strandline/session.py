@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def local_session(app: str = "strandline", cores: str = "*", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,12 +29,16 @@ def local_session(app: str = "strandline", cores: str = "*", shuffle_partitions:
 def durable(df: DataFrame) -> DataFrame:
     """Cut ``df``'s lineage with a checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is read from the session; a temporary one is set only where none is, as in tests.
+    The folder is read from the session; a temporary one is set only where none is and all runs on this machine, as in
+    tests.  On a cluster without one an error is raised: its executors share no local folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint(eager=True)
 
 

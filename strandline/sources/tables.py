@@ -150,6 +150,34 @@ def read_initial_conditions(spark: SparkSession, path: str, taxa: DataFrame, sep
     return taxa.join(x, "name").select("idx", "abundance")
 
 
+def read_clustering(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """(cid, item) of a cluster assignment table: 'cluster', then its members, in lines or in columns.
+
+    Lines hold a cluster's name and one member each; a line of one field names the cluster of the lines under it, the
+    form that reports have.  NULL and blank fields are passed over.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))  # one small file
+    cells = lines.select("at", F.split("line", sep).alias("c")).select("at", F.trim(F.col("c")[0]).alias("a"), F.trim(F.try_element_at("c", F.lit(2))).alias("b"))
+    cells = cells.where("coalesce(a, '') <> '' or coalesce(b, '') <> ''")
+    alone = F.coalesce(F.col("b"), F.lit("")) == ""
+    named = F.last(F.when(alone, F.col("a")), True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    cid = F.when(F.col("a") != "", F.col("a")).otherwise(F.lit(None))
+    rows = cells.withColumn("under", named).where(~alone)
+    return rows.select(F.coalesce(cid, "under").alias("cid"), F.col("b").alias("item"))
+
+
+def clustering_of(table: DataFrame, taxa: list[str]) -> tuple[int, ...]:
+    """The cluster number of each taxon, numbered in the order of first members; raises where one is missing or has two."""
+    got: dict[str, set[str]] = {}
+    for r in table.collect():  # a row per taxon of a model
+        got.setdefault(r["item"], set()).add(r["cid"])
+    lost = [t for t in taxa if len(got.get(t, ())) != 1]
+    if lost:
+        raise BadStudy(f"the clustering gives no single cluster for {lost[:3]}")
+    order: dict[str, int] = {}
+    return tuple(order.setdefault(next(iter(got[t])), len(order)) for t in taxa)
+
+
 def make_toy(study: Study, n_taxa: int = 15) -> Study:
     """The study with its first taxa only."""
     return study.replace(taxa=study.taxa.where(F.col("idx") < n_taxa))
