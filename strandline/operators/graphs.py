@@ -53,3 +53,28 @@ def hamming_neighbours(rows: DataFrame, most: int, pieces: int | None = None) ->
     pairs = shown.withColumnRenamed("id", "a").join(shown.withColumnRenamed("id", "b"), ["len", "k", "h"]).where("a < b").select("a", "b").distinct()
     sa, sb = rows.select(F.col("id").alias("a"), F.col("seq").alias("sa")), rows.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
     return pairs.join(sa, "a").join(sb, "b").withColumn("dist", hamming(F.col("sa"), F.col("sb"))).where(F.col("dist") <= most).select("a", "b", "dist")
+
+
+def descendants(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(root, node, steps): every node that can be reached from each of ``roots`` (node) along ``edges`` (parent, child).
+
+    Breadth first: ``steps`` is the shortest way; a cycle ends where all its nodes are known.  Each round joins the
+    edges to the nodes found in the last one.
+    """
+    e = durable(edges.select(F.col("parent").alias("at"), "child").distinct())
+    front = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("steps", F.lit(0))
+    known = front = durable(front)
+    for step in range(1, max_rounds + 1):
+        nxt = front.withColumnRenamed("node", "at").join(e, "at").select("root", F.col("child").alias("node")).distinct()
+        front = durable(nxt.join(known, ["root", "node"], "left_anti").withColumn("steps", F.lit(step)))
+        if front.isEmpty():
+            return known.where("steps > 0")
+        known = known.unionByName(front)
+    raise RuntimeError("the way down did not end; raise max_rounds")
+
+
+def node_degrees(edges: DataFrame) -> DataFrame:
+    """(node, n_parents, n_children) over the distinct edges (parent, child)."""
+    e = edges.select("parent", "child").distinct()
+    ends = e.select(F.col("child").alias("node"), F.lit(1).alias("p"), F.lit(0).alias("c")).unionByName(e.select(F.col("parent").alias("node"), F.lit(0).alias("p"), F.lit(1).alias("c")))
+    return ends.groupBy("node").agg(F.sum("p").alias("n_parents"), F.sum("c").alias("n_children"))
