@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import core_dealt, kernel_queries, posterior_queries, report_queries, study_queries
+from strandline.plans import core_dealt, kernel_queries, model_queries, posterior_queries, report_queries, study_queries
 
-MODULES = [core_dealt, study_queries, posterior_queries, kernel_queries, report_queries]
+MODULES = [core_dealt, study_queries, posterior_queries, kernel_queries, report_queries, model_queries]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
