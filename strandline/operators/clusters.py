@@ -101,7 +101,7 @@ def consensus_clusters(co: DataFrame, n_items: int, n_clusters: int | Callable[[
         np.fill_diagonal(d, 0)
         return pd.DataFrame({"item": np.arange(n_items), "cid": agglomerate(d, linkage, n_clusters=k)})
 
-    return co.groupBy(F.lit(0)).applyInPandas(run, "item int, cid int")
+    return co.groupBy(F.lit("model").alias("m")).applyInPandas(run, "item int, cid int")
 
 
 def intermediate_points(grid: DataFrame, samples: DataFrame) -> DataFrame:
