@@ -12,11 +12,13 @@ Only a text longer than the capacity is cut: into full pieces, which fill a cont
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +52,25 @@ def tokenizer_defaults() -> tuple[str, str]:
 
 def _token_counts(path: str, pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path, pattern).encode_ordinary
+        sent = SparkFiles.get(os.path.basename(path))
+        encode = _encoder(sent if os.path.exists(sent) else path, pattern).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(encode(t)) for t in pdf["text"]]})
 
     return run
 
 
-
-
 def token_sizes(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, tokens) of every text that is not NULL."""
-    path, pat = tokenizer_defaults()
+    """(doc_id, tokens) of every text that is not NULL.
+
+    ``vocabulary`` is the path of a byte-level vocabulary on the driver, which is sent to the executors; without path
+    and pattern those of the installed public tokenizers count.
+    """
+    path, pat = (vocabulary, pattern) if vocabulary and pattern else tokenizer_defaults()
+    vocabulary, pattern = vocabulary or path, pattern or pat
+    documents.sparkSession.sparkContext.addFile(vocabulary)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
-    return docs.mapInPandas(_token_counts(vocabulary or path, pattern or pat), "doc_id bigint, tokens bigint")
+    return docs.mapInPandas(_token_counts(vocabulary, pattern), "doc_id bigint, tokens bigint")
 
 
 # ---------------------------------------------------------------- the plan: a few sizes, on the driver
@@ -234,13 +241,16 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, small: float = SMALL, group
     items = sizes.where("tokens is not null and tokens >= 0").select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), cut)).alias("piece"))
     items = items.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece").cast("bigint") * capacity).alias("size"))
     items = durable(items)
-    total = items.count()
-    salts = max(1, min(256, total // RANK_ROWS))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    table = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()  # (capacity + 1) * salts rows at most
+    hist = items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().set_index("size")["n"].sort_index()  # capacity + 1 rows at most
+    total = int(hist.sum())
+    # a size is ranked in as many parts as its own documents ask for
+    parts = {int(s): int(-(-n // RANK_ROWS)) for s, n in hist.items() if n > RANK_ROWS}
+    split = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else None
+    salts = F.coalesce(F.try_element_at(split, F.col("size").cast("int")), F.lit(1)) if parts else F.lit(1)
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    table = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()  # capacity + 1 + total / RANK_ROWS rows, about
     table = table.sort_values(["size", "salt"], ascending=[False, True])
     table["before"] = table["n"].cumsum() - table["n"]
-    hist = table.groupby("size")["n"].sum()
     plan = Plan(hist.index.to_numpy(np.int64), hist.to_numpy(np.int64), capacity, small, groups)
     limit = plan.limit
     offsets = spark.createDataFrame(table[["size", "salt", "before"]].astype({"size": "int64", "salt": "int32", "before": "int64"}), "size bigint, salt int, before bigint")

@@ -40,6 +40,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * CAPACITY)).alias("fill"), F.ceil(F.sum("used") / CAPACITY).alias("least_containers"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What every assignment must hold to, counted: documents, containers over capacity, texts cut without need, and
+    texts whose pieces don't follow one another from token 0."""
+    got = durable(p7_assignment(spark, d))
+    over = got.groupBy("container").agg(F.sum("tokens").alias("used")).where(F.col("used") > CAPACITY).agg(F.count(F.lit(1)).alias("n_over"))
+    per = got.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("top"), F.max("start").alias("last"))
+    needless = F.count_if((F.col("n") > 1) & (F.col("tokens") <= (F.col("n") - 1) * CAPACITY))
+    broken = F.count_if((F.col("top") != F.col("n") - 1) | (F.col("last") != F.col("top") * CAPACITY))
+    return per.agg(F.count(F.lit(1)).alias("n_docs"), needless.alias("n_needless"), broken.alias("n_broken")).join(F.broadcast(over))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     leaks = leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
     return leaks.where("dist = 0").select("doc_id", "item_id")
@@ -64,7 +75,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p1_classes, p7_assignment, p7_fill, p8_found, p8_near, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p1_groups, p1_classes, p7_assignment, p7_fill, p7_checks, p8_found, p8_near, p9_found, p9_profile)
 }
 
 _PLAIN = "regexp_replace(regexp_replace(text, '</?\\p{L}[^>]*>', ' ', 'g'), '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{00AD}]', '', 'g')"
@@ -97,6 +108,7 @@ ORACLE: dict[str, str] = {
     "p1_groups": _P1
     + """select idx, k.r rep, t.grp, count(*) over (partition by k.r) copies, (select count(*) from u where u.a = k.r) links
       from k join t on t.node = k.r""",
+    "p7_checks": "select count(distinct doc_id) n_docs, 0::bigint n_needless, 0::bigint n_broken, 0::bigint n_over from documents where text is not null",
     "p8_found": f"""
       with d as (select doc_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from documents where text is not null),
       i as (select item_id, list_transform(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{Nd}}]+'), lambda v: lower(v)) w from eval_items where text is not null),
