@@ -114,7 +114,8 @@ _EX = {0: [0, 3, 6], 1: [1, 4, 7], 2: [2, 5]}
 
 @traces()
 def d9_keystoneness_simulated(t):
-    """Keystoneness end to end: the baseline and every cluster's exclusion simulated to the steady state."""
+    """Keystoneness end to end over two days of a coarse grid, a transient that recursive SQL can follow;
+    ``d9_keystoneness_steady`` has the production horizon."""
     ky = K.steady_states(_params(t), np.array(START), DT, DAYS, _EX)
     mem = t.growth.select(F.col("idx").alias("taxon"), (F.col("idx") % 3).alias("cid")).distinct()
     # draws are told apart by chain and gibbs together
@@ -122,6 +123,17 @@ def d9_keystoneness_simulated(t):
     return P.keystoneness(sim, mem, 1.0).select("cluster", F.round("ky", 6).alias("ky"))
 
 
+@traces()
+def d9_keystoneness_steady(t):
+    """The same at the production horizon and step, 180 days of 0.01, self-interactions strong enough to settle."""
+    diag = t.cells.where("tgt = src").select("chain", "gibbs", F.col("tgt").alias("idx"), (F.abs("x") + 1.0).alias("value"))
+    edges = t.edge.withColumn("value", F.col("value") / 10)
+    ky = K.steady_states(K.draws(t.growth, diag, edges), np.array(START), 0.01, 180.0, _EX)
+    mem = t.growth.select(F.col("idx").alias("taxon"), (F.col("idx") % 3).alias("cid")).distinct()
+    sim = ky.select("scenario", (F.col("gibbs") * 4 + F.col("chain")).alias("gibbs"), "taxon", "x")
+    return P.keystoneness(sim, mem, 1.0).select("cluster", F.round("ky", 6).alias("ky"))
+
+
 ORACLE["d9_keystoneness_simulated"] = (
     PQ.BASE.replace("with v as", "with recursive v as", 1)
     + _PARAMS
@@ -195,9 +207,13 @@ def c7_hamming_neighbours(s):
 def g1_otus(s):
     """Taxa joined to OTUs by average linkage of Hamming distances up to 10, one agglomeration per component."""
     seq = durable(_sequences(s))
-    near = G.hamming_neighbours(seq, 10)
-    comp = G.connected_groups(seq.select(F.col("id").alias("node")), near.select("a", "b"))
-    return K.cluster_sequences(comp.join(seq, F.col("node") == F.col("id")).select("grp", F.col("id").alias("item"), "seq"))
+    # equal sequences are one item of a weight, so that copies are never paired
+    one = durable(seq.groupBy("seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
+    near = G.hamming_neighbours(one.select("id", "seq"), 10)
+    comp = G.connected_groups(one.select(F.col("id").alias("node")), near.select("a", "b"))
+    got = K.cluster_sequences(comp.join(one, F.col("node") == F.col("id")).select("grp", F.col("id").alias("item"), "seq", "weight"))
+    copies = seq.join(one.select("seq", F.col("id").alias("rep")).hint("merge"), "seq").select("id", "rep")
+    return got.withColumnRenamed("item", "rep").join(copies.hint("merge"), "rep").select("grp", F.col("id").alias("item"), "label")
 
 
 @study()

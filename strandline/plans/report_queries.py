@@ -181,6 +181,38 @@ def b1_infer(spark: SparkSession, d: str) -> DataFrame:
     return trace.where("var in ('growth', 'self_interaction') and gibbs >= 20").groupBy("var", "i").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def _observed(s):
+    """What inference takes of the study: the most steadily abundant taxa, and the subjects with ten samples or more."""
+    from strandline.operators import sequences as Q
+
+    long = s.samples.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("subject")
+    samples = s.samples.join(long, "subject", "left_semi")
+    cut = s.replace(samples=samples, reads=s.reads.join(samples, "sample_id", "left_semi"), qpcr=s.qpcr.join(samples, "sample_id", "left_semi"))
+    kept = Q.consistent_taxa(cut, "rel", 0.01, 3, 3)
+    return cut.keep_taxa(kept.withColumnRenamed("taxon", "name"))
+
+
+@study()
+def b1_infer_study(s):
+    """A chain over the study itself, its taxa filtered by consistency: means of growth and self-interaction by taxon."""
+    from strandline.inference.data import observe
+
+    spark = s.taxa.sparkSession
+    obs = observe(_observed(s))
+    trace = infer(spark, obs, Config(burnin=4, n_samples=12, checkpoint=6, qpcr_scale=0.3, clusters="none" if obs.n <= 5 else "sampled"), 2)
+    got = trace.where("var in ('growth', 'self_interaction') and gibbs >= 4")
+    return got.groupBy("var", "i").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@study()
+def b16_calibrate_study(s):
+    """The read noise from the study's own subjects, each subject's samples as replicates of one community."""
+    from strandline.inference.data import replicate_reads
+
+    got = calibrate_noise(s.taxa.sparkSession, replicate_reads(_observed(s)), burnin=50, n_samples=150)
+    return got.where("gibbs >= 50").groupBy("var").agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("n"))
+
+
 @plain()
 def b16_calibrate_noise(spark: SparkSession, d: str) -> DataFrame:
     rng = generator(1, "replicates")

@@ -113,6 +113,14 @@ def s11_wide_counts(s):
     return s.cells.withColumn("cohort", F.substring("subject", 1, 1)).groupBy(F.col("taxon").alias("name")).pivot("cohort", ["T", "U", "R", "H", "K"]).agg(F.sum("raw"))
 
 
+@study_query("select taxon as name, count(*) n_samples, string_agg(sample_id || '=' || raw, ';' order by sample_id || '=' || raw) cells from cells group by 1")
+def s11_sample_counts(s):
+    """A row per taxon with its count in every sample that has one, as one column whatever the number of samples."""
+    cell = F.concat(F.col("sample_id"), F.lit("="), F.col("raw").cast("string"))
+    rows = s.cells.groupBy(F.col("taxon").alias("name")).agg(F.count(F.lit(1)).alias("n_samples"), F.array_sort(F.collect_list(cell)).alias("c"))
+    return rows.select("name", "n_samples", F.array_join("c", ";").alias("cells"))
+
+
 # ---------------------------------------------------------------- filters
 
 
@@ -495,6 +503,25 @@ def t2_times_intersection(s):
     return R.common_times(s.samples)
 
 
+def _by_ordinal(s):
+    """The study with each sample's place in its subject as its time, so that all subjects share some."""
+    return s.replace(samples=s.samples.withColumn("time", F.col("tidx").cast("double")))
+
+
+_COMMON = "(select tidx from samples group by 1 having count(distinct subject) = (select count(distinct subject) from samples))"
+
+
+@study_query(f"select cast(tidx as double) as time from {_COMMON}")
+def t2_ordinals_intersection(s):
+    """The places in time that every subject has a sample for."""
+    return R.common_times(_by_ordinal(s).samples)
+
+
+@study_query(f"select taxon_idx, cast(tidx as double) as time, cast(sum(raw) as double) as value from cells where tidx in {_COMMON} group by 1, 2")
+def a3_sum_raw_ordinals_intersection(s):
+    return R.aggregate_over_subjects(_by_ordinal(s), "raw", "sum", "intersection")
+
+
 @study_query("select distinct taxon from ab where rel >= 0.1 and subject like 'U%' union select distinct taxon from ab where rel >= 0.1 and subject like 'T%'")
 def t3_union_of_cohorts(s):
     rich = s.abundance.where("rel >= 0.1")

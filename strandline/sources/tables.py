@@ -109,6 +109,31 @@ def wide_counts(study: Study) -> DataFrame:
     return study.cells.groupBy(F.col("taxon").alias("name")).pivot("sample_id", names).agg(F.sum("raw")).na.fill(0)
 
 
+def write_wide_counts(study: Study, path: str, sep: str = "\t") -> None:
+    """The wide counts as TSV parts with a header each: a row per taxon, a column per sample, of any number of samples.
+
+    A taxon's row is one array, so there is no plan of as many columns; the samples' names are the header and come to
+    the driver.
+    """
+    names = [r[0] for r in study.samples.select("sample_id").orderBy("sample_id").collect()]
+    place = study.samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("at"))
+    rows = study.cells.join(place, "sample_id").groupBy("taxon").agg(F.map_from_entries(F.collect_list(F.struct("at", "raw"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(max(len(names), 1) - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("string"))
+    lines = rows.select(F.concat_ws(sep, "taxon", F.array_join(full, sep)).alias("value"))
+    header = sep.join(["name", *names])
+
+    def headed(batches):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        first = True
+        for pdf in batches:
+            if len(pdf):
+                yield pd.concat([pd.DataFrame({"value": [header]}), pdf]) if first else pdf
+                first = False
+
+    lines.mapInPandas(headed, "value string").write.mode("overwrite").text(path)
+
+
 def wide_qpcr(study: Study) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("sample_id").orderBy("rep", "reading_id"))
     rows = study.qpcr.withColumn("k", k)
@@ -120,7 +145,7 @@ def write_study_tsv(study: Study, folder: str, sep: str = "\t") -> None:
     """The five tables of a study, each a folder of TSV parts."""
     write_tsv(study.samples.select(F.col("sample_id").alias("sampleID"), "subject", "time"), f"{folder}/metadata.tsv", sep)
     write_tsv(study.taxa.orderBy("idx").select("name", "sequence", *LEVELS).coalesce(1), f"{folder}/taxonomy.tsv", sep)
-    write_tsv(wide_counts(study), f"{folder}/counts.tsv", sep)
+    write_wide_counts(study, f"{folder}/counts.tsv", sep)
     write_tsv(wide_qpcr(study), f"{folder}/qpcr.tsv", sep)
     write_tsv(study.perts.select("name", "start", "end", "subject"), f"{folder}/perturbations.tsv", sep)
 

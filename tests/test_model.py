@@ -242,3 +242,23 @@ def test_perturbed_and_fixed_commands(spark, tmp_path):
     cli.main([*sim, "--subject", "A", "--out", p("with")])
     a, b = (spark.read.parquet(p(n)).where("gibbs = 2 and taxon = 0 and time = 1").agg(F.sum("x")).first()[0] for n in ("plain", "with"))
     assert b > a
+
+
+def test_steady_states_settle_on_the_analytic_ones(spark):
+    growth = spark.createDataFrame([(0, 0, 0, 0.8), (0, 0, 1, 0.5)], "chain bigint, gibbs bigint, idx int, value double")
+    own = spark.createDataFrame([(0, 0, 0, 2.0), (0, 0, 1, 1.0)], "chain bigint, gibbs bigint, idx int, value double")
+    edges = spark.createDataFrame([(0, 0, 0, 1, 0.3)], "chain bigint, gibbs bigint, tgt int, src int, value double")
+    got = K.steady_states(K.draws(growth, own, edges), np.array([0.1, 0.2]), 0.01, 60.0, {7: [1]}).collect()
+    x = {(r["scenario"], r["taxon"]): r["x"] for r in got}
+    want = np.linalg.solve([[-2.0, 0.3], [0, -1.0]], [-0.8, -0.5])
+    assert [x[None, 0], x[None, 1]] == pytest.approx(want, rel=1e-6) and x[7, 0] == pytest.approx(0.4, rel=1e-6) and x[7, 1] == 0
+
+
+def test_weights_stand_for_copies():
+    rng = D.generator(3, "w")
+    p = rng.normal(size=(9, 2))
+    many = np.repeat(p, [1, 3, 1, 2, 1, 1, 4, 1, 1], axis=0)
+    full = K.agglomerate(np.abs(many[:, None] - many[None]).sum(2), n_clusters=3)
+    one = K.agglomerate(np.abs(p[:, None] - p[None]).sum(2), n_clusters=3, weights=np.array([1, 3, 1, 2, 1, 1, 4, 1, 1]))
+    first = np.cumsum([0, 1, 3, 1, 2, 1, 1, 4, 1])
+    assert full[first].tolist() == one.tolist()
