@@ -30,10 +30,10 @@ SENTENCE_EDGES = (10.0, 20.0, 30.0, 37.0, 45.0, 52.0, 60.0, 70.0, 80.0, 90.0, 10
 LEAST_WORDS = 30
 LONG_WORD = 6
 TRAIN_DOCS = 1000  #: documents the models are fitted on, at most
-TRAIN_LETTERS = 2_000_000  #: and letters of them, at most
-HELD = 0.2  #: share of them that measures the margin
-SURE, SAFETY = 0.99, 1.25  #: quantile of the errors among them, and the margin over it
-ROUNDS = 30
+TRAIN_LETTERS = 700_000  #: and letters of them, at most
+HELD = 0.25  #: share of them that measures the margin
+SURE, SAFETY = 0.99, 1.6  #: quantile of the errors among them, and the margin over it
+ROUNDS = 25
 L2 = 1e-4
 BITS = 14
 PART = 1 << 20
