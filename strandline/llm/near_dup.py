@@ -18,8 +18,9 @@ for partners of a single level.  Records too short for the long level, and those
 singles.  So no pair is lost, whatever levels are picked.
 
 Bounds: the frequency table has ``FREQ_SLOTS`` slots whatever the input is; frequencies only steer the order and the
-levels, a wrong estimate costs time, never a pair.  Postings, candidates and texts are joined by sort-merge only: a
-checkpoint keeps the size estimate of the plan before it, which says nothing about the rows an Arrow function makes.
+levels, a wrong estimate costs time, never a pair.  Keys move once, packed into byte planes by ranges of their value,
+and meet in the task that gets their range.  Candidates and texts are joined by sort-merge only: a checkpoint keeps
+the size estimate of the plan before it, which says nothing about the rows an Arrow function makes.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ KEY_COST, CHECK_COST = 2.0, 30.0  #: of a shown key and of a verified candidate,
 EXPAND_COPIES = 1000  #: classes of more equal texts stand as pairs (representative, copy), not as all pairs of copies
 HOT_POSTINGS = 4000  #: posting lists above this are split over salts
 CHUNK = 1 << 20  #: letters whose shingles are held at once
+KEY_BITS = 40  #: of a key that are kept; two different keys that agree in them only make a candidate more
+RANGE_KEYS = 250_000  #: shingles for each range of keys; a range is joined at once
+MET_ROWS = 1 << 17  #: matches that are handed on at once
 
 
 def normalise(col: str) -> F.Column:
@@ -69,9 +73,9 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.repeat(np.arange(len(texts)), [len(x) for x in sets])
 
 
-def _chunks(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
+def _chunks(pdf: pd.DataFrame, letters: int = CHUNK) -> Iterator[tuple[np.ndarray, list[str]]]:
     reps, texts = pdf["rep"].to_numpy(np.int64), pdf["text"].tolist()
-    part = np.cumsum([len(t) for t in texts]) // CHUNK if texts else np.empty(0, np.int64)
+    part = np.cumsum([len(t) for t in texts]) // letters if texts else np.empty(0, np.int64)
     for p in np.unique(part):
         rows = np.flatnonzero(part == p)
         yield reps[rows], [texts[i] for i in rows]
@@ -104,7 +108,8 @@ class Prefixes:
     def __init__(self, freq: np.ndarray, records: int, threshold: float, width: int):
         self.freq, self.records, self.t, self.width = freq, max(records, 1), threshold, width
         # read on the driver, as tests set them there
-        self.classes, self.shared, self.rare = CLASSES, SHARED, RARE
+        self.classes, self.shared, self.rare, self.hot = CLASSES, SHARED, RARE, HOT_POSTINGS
+        self.ranges = 1 + int(freq.sum()) // RANGE_KEYS
         self.levels = LEVELS
         self.helper = max(LEVELS) + 1  #: stands for the level of the rare singles of a record of the long level
 
@@ -146,7 +151,7 @@ class Prefixes:
         out = [
             (
                 h[single] * np.uint64(0x9E3779B97F4A7C15), f[single], of[single],
-                np.where(mine > 0, mine, self.helper)[single], entry[single],
+                np.where(mine > 0, mine, self.helper)[single].astype(np.int8), entry[single].astype(np.int8),
             )
         ]
         two = (mine == 0) & (entry <= long) & (f > 1)
@@ -161,15 +166,95 @@ class Prefixes:
                 if not len(same):
                     break
                 key = (h[same] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[same + d] * np.uint64(0x165667B19E3779F9) + np.uint64(0x9E3779B97F4A7C15))
-                zero = np.zeros(len(same), np.int64)
+                zero = np.zeros(len(same), np.int8)
                 out.append((key, np.minimum(f[same], f[same + d]), of[same], zero, zero))
         key, f, of, level, entry = (np.concatenate(c) for c in zip(*out))
-        return key.view(np.int64), f, reps[of], n[of].astype(np.int32), level.astype(np.int8), entry.astype(np.int8)
+        return key.view(np.int64), f, reps[of], n[of].astype(np.int32), level, entry
+
+    def packed(self, reps: np.ndarray, texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
+        """(range, its keys in order) of the chunk; a long list is split: its left copies are spread over salts, its right
+        copies go to each of them."""
+        key, f, rep, n, level, entry = self.keys(reps, texts)
+        salts = -(-f // self.hot)
+        at = np.repeat(np.arange(len(key)), salts)
+        salt = np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)
+        left = rep[at] % salts[at] == salt
+        tok = (key.view(np.uint64)[at] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - KEY_BITS)
+        note = n[at].astype(np.int64) << 11 | left.astype(np.int64) << 10 | entry[at].astype(np.int64) << 5 | level[at]
+        by = np.argsort(tok, kind="stable")
+        tok, rep, note = tok[by].astype(np.int64), rep[at][by], note[by]
+        span = (1 << KEY_BITS) // self.ranges + 1
+        got, start = np.unique(tok // span, return_index=True)
+        step = np.diff(tok, prepend=0)
+        step[start] = tok[start]
+        end = [*start[1:], len(tok)]
+        return got, [b"".join(_planes(c[i:j]) for c in (step, rep, note)) for i, j in zip(start, end)]
 
     def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for reps, texts in _chunks(pdf):
-                yield pd.DataFrame(dict(zip(("tok", "freq", "rep", "n", "lvl", "entry"), self.keys(reps, texts))))
+            for reps, texts in _chunks(pdf, CHUNK // 4):  # a text has several keys a letter
+                ranges, packs = self.packed(reps, texts)
+                yield pd.DataFrame({"range": ranges.astype(np.int32), "keys": packs})
+
+    def met(self, tok: np.ndarray, rep: np.ndarray, note: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(left rep, right rep, shared keys needed) of every two postings of one key that may be of a similar pair."""
+        by = np.argsort(tok, kind="stable")
+        tok, rep, note = tok[by], rep[by], note[by]
+        n, left, entry, level = note >> 11, (note >> 10 & 1).astype(bool), note >> 5 & 31, note & 31
+        i, d = np.arange(len(tok) - 1), 1
+        while len(i := i[tok[i + d] == tok[i]]):
+            j = i + d
+            turn = (n[i] > n[j]) | ((n[i] == n[j]) & (rep[i] > rep[j]))
+            a, b = np.where(turn, j, i), np.where(turn, i, j)
+            low = np.minimum(level[a], level[b])  # both show all shingles of that level's prefixes
+            ok = left[a] & (rep[a] != rep[b]) & (n[a] >= n[b] * self.t - 1e-9) & (low < self.helper) & (np.maximum(entry[a], entry[b]) <= low)
+            yield rep[a[ok]], rep[b[ok]], np.where(low[ok] == 0, self.shared, low[ok])
+            d += 1
+            i = i[i < len(tok) - d]
+
+    def meet(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """mapInPandas body: matches of the packed keys; rows come sorted by range."""
+        for packs in _by_range(batches):
+            cols = [np.concatenate(c) for c in zip(*map(_unpacked, packs))]
+            held, rows = [], 0
+            for got in self.met(*cols):
+                held.append(got)
+                rows += len(got[0])
+                if rows >= MET_ROWS:
+                    yield _matches(held)
+                    held, rows = [], 0
+            if rows:
+                yield _matches(held)
+
+
+def _matches(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    x, y, least = (np.concatenate(c) for c in zip(*held))
+    return pd.DataFrame({"x": x, "y": y, "least": least.astype(np.int32)})
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on; bytes that are 0 throughout compress to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(pack: bytes) -> tuple[np.ndarray, ...]:
+    x = np.frombuffer(pack, np.uint8).reshape(3, 8, -1)
+    step, rep, note = (np.ascontiguousarray(c.T).view("<i8").ravel() for c in x)
+    return np.cumsum(step), rep, note
+
+
+def _by_range(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+    """The packs of one range after the other."""
+    last, held = None, []
+    for pdf in batches:
+        for r, pack in zip(pdf["range"].tolist(), pdf["keys"]):
+            if r != last and held:
+                yield held
+                held = []
+            last = r
+            held.append(pack)
+    if held:
+        yield held
 
 
 def _verify(t: float, width: int):
@@ -221,20 +306,10 @@ def similar_representatives(reps: DataFrame, threshold: float = 0.7, width: int
     freq[at[at >= 0]] = c[at >= 0]
     picker = Prefixes(freq, int(c[at < 0].sum()), threshold, width)
     shared = spark.sparkContext.broadcast(picker)
-    schema = "tok bigint, freq bigint, rep bigint, n int, lvl byte, entry byte"
-    post = reps.mapInPandas(lambda it: shared.value.run(it), schema)
-    # A long list is split: its left copies are spread over salts, its right copies go to each of them.
-    post = durable(post.select("tok", F.ceil(F.col("freq") / F.lit(HOT_POSTINGS)).cast("int").alias("salts"), "rep", "n", "lvl", "entry"))
-    left = post.select("tok", F.pmod(F.col("rep"), F.col("salts")).cast("int").alias("salt"), "rep", "n", "lvl", "entry")
-    right = post.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "n", "lvl", "entry")
-    a, b = left.alias("a"), right.alias("b")
-    first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
-    near = F.col("a.n") >= F.col("b.n") * F.lit(threshold) - F.lit(1e-9)
-    low = F.least("a.lvl", "b.lvl")  # both show all shingles of that level's prefixes
-    inside = (low < picker.helper) & (F.greatest("a.entry", "b.entry") <= low)
-    met = a.join(b.hint("merge"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.salt") == F.col("b.salt")) & first & near & inside)
-    least = F.when(low == 0, F.lit(picker.shared)).otherwise(low.cast("int"))
-    pairs = met.groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count(F.lit(1)).alias("hits"), F.max(least).alias("least"))
+    packs = reps.mapInPandas(lambda it: shared.value.run(it), "range int, keys binary")
+    packs = packs.repartition(max(12, picker.ranges // 4), "range").sortWithinPartitions("range")
+    met = packs.mapInPandas(lambda it: shared.value.meet(it), "x bigint, y bigint, least int")
+    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("hits"), F.max("least").alias("least"))
     pairs = pairs.where("hits >= least").select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"))
     ta = reps.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     tb = reps.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))

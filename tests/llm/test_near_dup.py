@@ -108,6 +108,22 @@ def test_no_join_is_broadcast(spark, rows):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_keys_move_once_and_packed(spark, rows):
+    """Each key's posting used to be written to a checkpoint and shuffled twice, a row a key."""
+    df = spark.createDataFrame(rows, "idx int, sequence string")
+    plan = N.similar_classes(df)._jdf.queryExecution().toString()
+    assert "range#" in plan and "keys#" in plan and "tok#" not in plan
+    picker = N.Prefixes(np.full(N.FREQ_SLOTS, 2), 10**6, 0.7, 10)
+    texts = [norm(s) for i, s in rows[:40]]
+    picker.ranges = 7
+    key, f, rep, n, level, entry = picker.keys(np.arange(40), texts)
+    got, packs = picker.packed(np.arange(40), texts)
+    tok, back, note = (np.concatenate(c) for c in zip(*map(N._unpacked, packs)))
+    assert len(got) == 7 and len(tok) == len(key) and (np.diff(tok) >= 0).all()
+    want = zip(rep.tolist(), n.tolist(), level.tolist(), entry.tolist())
+    assert sorted(zip(back.tolist(), (note >> 11).tolist(), (note & 31).tolist(), (note >> 5 & 31).tolist())) == sorted(want)
+
+
 def test_classes_and_members_hold_every_pair(spark, rows):
     df = spark.createDataFrame(rows, "idx int, sequence string")
     links = {(r["rep_a"], r["rep_b"]) for r in N.similar_classes(df).collect()}
