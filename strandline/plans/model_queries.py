@@ -88,8 +88,9 @@ _MASK = ", m as (select name taxon, null subject, 3.0 time_from from taxa where
 
 def _mask(s):
     every = s.taxa.where("idx % 3 = 0").select(F.col("name").alias("taxon"), F.lit(None).cast("string").alias("subject"), F.lit(3.0).alias("time_from"))
-    who = s.samples.where("subject like 'U%'").agg(F.collect_set("subject").alias("who"))  # the subjects of one cohort
-    own = s.taxa.where("idx % 4 = 0").join(F.broadcast(who)).select(F.col("name").alias("taxon"), F.explode("who").alias("subject"), F.lit(10.0).alias("time_from"))
+    # rows of taxa and subjects that have cells together; others mask nothing, and are taxa times subjects
+    met = s.cells.where("subject like 'U%' and taxon_idx % 4 = 0").select("taxon", "subject").distinct()
+    own = met.select("taxon", "subject", F.lit(10.0).alias("time_from"))
     return every.unionByName(own)
 
 

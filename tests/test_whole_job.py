@@ -98,3 +98,20 @@ def test_references_and_distances_among_all_taxa(spark, deliver):
     assert len({m for *_, m in want}) > 1
     got = {(r["a"], r["b"]): r["dist"] for r in run(spark, "g11_leaf_distances", d).collect()}
     assert got == {(a[0], b[0]): dist(a, b) for a in taxa for b in taxa if a[0] < b[0]}
+
+
+def test_structural_zeros_mask_grows_with_the_cells(spark, deliver):
+    """The mask of a cohort held every taxon in every subject of it."""
+    from strandline.operators.study import Study
+    from strandline.plans.model_queries import _mask
+
+    d = deliver(taxa=[(f"T{i}", "ACGT", None) for i in range(40)], counts=[("T4", "U-1", 3), ("T4", "U-2", 5), ("T8", "V-1", 2), ("T8", "A-1", 1), ("T3", "A-1", 7), ("T5", "U-1", 1)])
+    s = Study.load(spark, d)
+    who = {"U-1": ("U1", 2.0), "U-2": ("U1", 12.0), "V-1": ("U2", 4.0), "A-1": ("A", 0.0)}
+    s = s.replace(samples=spark.createDataFrame([(k, p, t, 0) for k, (p, t) in who.items()], "sample_id string, subject string, time double, tidx int"))
+    own = _mask(s).where("subject is not null")
+    assert {tuple(r) for r in own.collect()} == {("T4", "U1", 10.0), ("T8", "U2", 10.0)}
+    from strandline.sources.dataset import present_cells
+
+    left = present_cells(s, _mask(s)).collect()
+    assert {(r["sample_id"], r["taxon_idx"]) for r in left} == {("U-2", 4), ("A-1", 8), ("U-1", 5)}
