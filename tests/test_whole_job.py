@@ -115,3 +115,20 @@ def test_structural_zeros_mask_grows_with_the_cells(spark, deliver):
 
     left = present_cells(s, _mask(s)).collect()
     assert {(r["sample_id"], r["taxon_idx"]) for r in left} == {("U-2", 4), ("A-1", 8), ("U-1", 5)}
+
+
+@pytest.mark.parametrize("name", ["c7_hamming_neighbours", "g1_otus"])
+def test_sequences_are_not_broadcast(spark, deliver, name):
+    """Pieces and sequences went to the driver wherever the size estimate was below the limit."""
+    from strandline.plans import kernel_queries as KQ
+
+    root = "ACGGTTACGATTACAGGATCCATTGACCAGTTACGGATTACA"
+    d = deliver(taxa=[(f"T{i}", root[:i] + "T" + root[i + 1 :], None) for i in range(12)] + [("U", root, None), ("V", root, None)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = KQ.QUERIES[name](spark, d)
+        assert got.count() == {"c7_hamming_neighbours": 91, "g1_otus": 14}[name]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
