@@ -118,6 +118,21 @@ def test_start_clusters():
     assert c.z.tolist() == [2, 2, 0, 0, 1]
 
 
+def test_replicates_of_any_number_of_subjects(spark, monkeypatch):
+    """One dense matrix of all subjects was made first, and raised beyond MAX_CELLS."""
+    from strandline.inference import data
+    from strandline.operators.study import Study
+
+    monkeypatch.setattr(data, "MAX_CELLS", 5)
+    names = ["X", "Y", "Z", "W"]
+    taxa = spark.createDataFrame([(2 * i, n) for i, n in enumerate(names)], "idx int, name string")
+    samples = [(f"{p}-{k}", p, float(k), k) for p, n in (("A", 3), ("B", 2), ("C", 2)) for k in range(n)]
+    reads = [("A-0", "Y", 4), ("A-2", "X", 7), ("A-2", "Y", 1), ("B-0", "Z", 2), ("B-1", "W", 0), ("C-0", "W", 5), ("C-1", "Z", 3), ("C-1", "Y", 0)]
+    s = Study(taxa, spark.createDataFrame(samples, "sample_id string, subject string, time double, tidx int"), spark.createDataFrame(reads, "sample_id string, taxon string, count bigint"), None, None)
+    assert [r.tolist() for r in data.replicate_reads(s)] == [[[0, 4], [7, 1]], [[0, 5], [3, 0]]]
+    assert data.replicate_reads(s.replace(reads=s.reads.limit(0))) == []
+
+
 def test_calibration_finds_the_dispersion():
     rng = D.generator(7, "replicates")
     groups = [D.sample_negbin(rng, 50_000 * rng.dirichlet(np.ones(12)), 0.05, (8, 12)) for _ in range(2)]
