@@ -132,3 +132,35 @@ def test_sequences_are_not_broadcast(spark, deliver, name):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_leaves_are_not_shuffled(spark, monkeypatch):
+    """Every pair of leaves was shuffled, once for each ancestor that both have, to find its shortest way."""
+    from strandline.operators import trees as T
+
+    nodes = T.read_newick(spark, "((a:1,b:2,(c:0.5,(d:0.25,e:4):1):1):0.5,(f:3,(g:0,h:0):0):2,i:1);")
+    up = {n["node"]: (n["parent"], n["length"]) for n in nodes.collect()}
+
+    def ways(n):
+        out, far = {n: 0.0}, 0.0
+        while up[n][0] is not None:
+            n, far = up[n][0], far + up[n][1]
+            out[n] = far
+        return out
+
+    leaves = {n["name"]: ways(n["node"]) for n in nodes.where("leaf").collect()}
+    want = {(a, b): min(x[n] + y[n] for n in x if n in y) for a, x in leaves.items() for b, y in leaves.items() if a < b}
+    monkeypatch.setattr(T, "BLOCK", 2)
+    got = T.leaf_distances(nodes, nodes.where("leaf").select("name"))
+    rows = got.collect()
+    assert len(rows) == 36 and {(r["a"], r["b"]): r["dist"] for r in rows} == pytest.approx(want)
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    top = tree[: tree.index("Join")]
+    assert "Aggregate" not in top
+    radius = spark.createDataFrame([("a", 1.5), ("d", 2.0), ("g", 0.5), ("i", 9.0)], "item string, radius double")
+    both = {**want, **{(b, a): x for (a, b), x in want.items()}}
+    refs = set()
+    for item, r in radius.collect():
+        m = next((m for m in np.arange(1, 2.8, 0.25) if sum(x <= r * m for (a, _), x in both.items() if a == item) > 2), 2.75)
+        refs |= {(a, b, x, float(m)) for (a, b), x in both.items() if a == item and x <= r * m}
+    assert {tuple(r) for r in T.widened_references(nodes, radius, 2).collect()} == refs
