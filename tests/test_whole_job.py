@@ -164,3 +164,15 @@ def test_pairs_of_leaves_are_not_shuffled(spark, monkeypatch):
         m = next((m for m in np.arange(1, 2.8, 0.25) if sum(x <= r * m for (a, _), x in both.items() if a == item) > 2), 2.75)
         refs |= {(a, b, x, float(m)) for (a, b), x in both.items() if a == item and x <= r * m}
     assert {tuple(r) for r in T.widened_references(nodes, radius, 2).collect()} == refs
+
+
+def test_references_are_counted_before_they_are_listed(spark, monkeypatch):
+    """The pairs within each step were kept on disk to be counted."""
+    from strandline.operators import trees as T
+
+    kept = []
+    monkeypatch.setattr(T, "durable", lambda df: kept.append(df.columns) or df)
+    nodes = T.read_newick(spark, "((a:1,b:2):1,(c:1,d:1):3);")
+    radius = spark.createDataFrame([("a", 1.5)], "item string, radius double")
+    assert [tuple(r) for r in T.widened_references(nodes, radius, 0).collect()] == [("a", "b", 3.0, 2.0)]
+    assert kept and not any("ref" in c for c in kept)
