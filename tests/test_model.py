@@ -277,3 +277,100 @@ def test_weights_stand_for_copies():
     one = K.agglomerate(np.abs(p[:, None] - p[None]).sum(2), n_clusters=3, weights=np.array([1, 3, 1, 2, 1, 1, 4, 1, 1]))
     first = np.cumsum([0, 1, 3, 1, 2, 1, 1, 4, 1])
     assert full[first].tolist() == one.tolist()
+
+
+class _Climber:
+    """A random stream whose steps are known and that takes a step only if it gains."""
+
+    def __init__(self):
+        self.steps = np.random.default_rng(4)
+
+    def permutation(self, n):
+        return np.arange(n)
+
+    def standard_normal(self, n):
+        return self.steps.standard_normal(n)
+
+    def standard_exponential(self, n):
+        return np.zeros(n)
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_steps_of_trajectories_weigh_the_whole_density(masked):
+    """What a step changes is summed up by clusters and weighed for all subjects at once: the same steps are taken as by
+    the density of everything, worked out anew for each."""
+    obs = _observations(6)
+    there = np.ones(obs.series[0].reads.shape, bool)
+    if masked:
+        there[:3, 2], there[:5, 4] = False, False
+    obs = Observations(obs.taxa, obs.perturbations, [Series(s.name, s.times, s.reads * there * (np.arange(6) < 5), s.log_qpcr, s.active, there if masked else None) for s in obs.series])
+    c = Chain(obs, Config(clusters="fixed", fixed=(0, 1, 0, 2, 1, 2), a0=1e-3, qpcr_scale=0.1), 0)
+    c.edge, c.on = np.array([[9, 0.3, -0.2], [0.1, 9, 0], [-0.4, 0.2, 9]]), np.array([[0, 1, 1], [1, 0, 0], [1, 1, 0]], bool)
+    c.gamma, c.gon = np.array([[0.5], [-0.2], [0.3]]), np.array([[1], [0], [1]], bool)
+    c.step[:] = 0.4
+    start, b = [x.copy() for x in c.x], c.edge * c.on
+    full = b[np.ix_(c.z, c.z)] * (c.z[:, None] != c.z) - np.diag(c.a2)
+
+    def density(s, x):
+        here = s.there
+        seen = np.where(here, x, 0.0)
+        rate = c.a1 * (1 + s.active @ (c.gamma * c.gon)[c.z].T) + seen[:-1] @ full.T
+        e = np.diff(np.log(x), axis=0) - s.dt[:, None] * rate
+        out = -(e**2 * (here[:-1] & here[1:]) / (2 * s.dt[:, None] * c.s2)).sum()
+        total = seen.sum(1)
+        rel = np.maximum(x / total[:, None], 1e-12)
+        out += (D.negbin_logpmf(s.reads, s.reads.sum(1)[:, None] * rel, c.cfg.a0 / rel + c.cfg.a1) * here).sum()
+        return out - sum(((q + np.log(c.scale) - np.log(t)) ** 2).sum() for q, t in zip(s.log_qpcr, total)) / (2 * c.cfg.qpcr_scale**2)
+
+    c.rng = _Climber()
+    c.update_latent()
+    steps, taken = np.random.default_rng(4), 0
+    for i in range(6):
+        for parity in (0, 1):
+            at = [(j, k) for j, s in enumerate(obs.series) for k in range(parity, len(s.times), 2) if s.there[k, i]]
+            for (j, k), z in zip(at, steps.standard_normal(len(at))):
+                x = start[j].copy()
+                x[k, i] *= np.exp(0.4 * z)
+                if density(obs.series[j], x) > density(obs.series[j], start[j]):
+                    start[j], taken = x, taken + 1
+    assert 10 < taken == c.taken.sum() < c.tries.sum() - 10
+    assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(start, c.x))
+
+
+def test_clusters_are_weighed_by_products():
+    c = Chain(_observations(6), Config(), 0)
+    for _ in range(3):
+        c.one_sweep()
+    z, rng = np.array([0, 1, 1, 2, 0, 2]), D.generator(1, "on")
+    on, gon = rng.random((3, 3)) < 0.6, np.array([[True], [False], [True]])
+    want = 0.0
+    for t in range(3):
+        mean, var, free = c.priors(t, 3)
+        want += c.marginal(*c.statistics(z, t), mean, var, np.flatnonzero(np.concatenate([on[t], gon[t]]) & free))
+    assert c.log_marginal(z, on, gon, c.products(5)) == pytest.approx(want) == c.log_marginal(z, on, gon)
+    for n in (1, 2, 6, 9, 30):
+        t, y = np.sort(rng.uniform(0, 50, n)), rng.normal(size=n)
+        assert K.loess_matrix(t, 6) @ y == pytest.approx(K.loess(t, y, 6))
+
+
+def test_a_chain_holds_one_array_of_taxa_times_samples():
+    """A chain held a dozen arrays of that size, so a study of 31 million cells was refused."""
+    import tracemalloc
+
+    rng = D.generator(2, "wide")
+    series = []
+    for j in range(60):
+        reads = np.zeros((25, 200), np.uint16)
+        reads[:, rng.integers(0, 200, 2)] = rng.integers(1, 900, (25, 2))
+        series.append(Series(f"s{j}", np.arange(25.0), reads, [rng.normal(20, 0.3, 2) for _ in range(25)], np.zeros((24, 0))))
+    obs = Observations([f"t{i}" for i in range(200)], [], series)
+    tracemalloc.start()
+    try:
+        c = Chain(obs, Config(clusters="fixed", fixed=tuple(i % 3 for i in range(200))), 0)
+        c.one_sweep()
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * 8 * 200 * 60 * 25
+    finally:
+        tracemalloc.stop()
+    from strandline.inference.data import MAX_CELLS
+
+    assert 261 * 117_240 <= MAX_CELLS
