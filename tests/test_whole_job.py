@@ -77,6 +77,21 @@ def test_spearman_blocks_change_nothing(spark, deliver):
     assert len(rows[0]) == 21 and rows[0] == rows[1]
 
 
+def test_spearman_pairs_leave_python_rounded(spark, deliver):
+    """Each of the pairs, 1.8 billion of 60,000 taxa, was rounded as a decimal after it had left Python."""
+    d = deliver(taxa=[(f"T{i}", "ACGT", None) for i in range(6)], counts=[(f"T{i}", k, (i * j + j * j + i) % 7) for i in range(5) for j, k in enumerate(SAMPLES)])
+    from strandline.operators.design import sparse_spearman
+    from strandline.operators.study import Study
+
+    s = Study.load(spark, d)
+    full = {(r["a"], r["b"]): r["dist"] for r in sparse_spearman(s, s.taxa.selectExpr("idx as taxon_idx"), 2).collect()}
+    got = run(spark, "j10_spearman", d)
+    assert {(r["a"], r["b"]): r["dist"] for r in got.collect()} == {k: None if x is None else round(x, 6) for k, x in full.items()}
+    assert len(full) == 15 and len({*full.values()}) > 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "round(" not in plan[: plan.index("FlatMapCoGroups")]
+
+
 def test_references_and_distances_among_all_taxa(spark, deliver):
     def lineage(i):
         fam = 0 if i < 30 else 1 + (i - 30) // 4
