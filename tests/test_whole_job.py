@@ -191,3 +191,25 @@ def test_references_are_counted_before_they_are_listed(spark, monkeypatch):
     radius = spark.createDataFrame([("a", 1.5)], "item string, radius double")
     assert [tuple(r) for r in T.widened_references(nodes, radius, 0).collect()] == [("a", "b", 3.0, 2.0)]
     assert kept and not any("ref" in c for c in kept)
+
+
+def test_neighbours_agree_through_n_and_may_be_short(spark):
+    """An N counted as a letter when shared pieces were looked for, and sequences under 22 letters were left out."""
+    from strandline.operators import graphs as G
+
+    rng = np.random.default_rng(4)
+    seqs = []
+    for size, many in ((0, 2), (3, 4), (12, 8), (21, 10), (22, 6), (44, 30), (61, 30)):
+        root = rng.choice(list("ACGT"), size)
+        for i in range(many):
+            x = root.copy()
+            x[rng.random(size) < 0.2 * rng.random()] = "T"
+            x[rng.random(size) < [0, 0.02, 0.1, 0.3, 0.9, 1][i % 6]] = "N"
+            seqs.append("".join(x))
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id bigint, seq string")
+    for most in (2, 10):
+        dist = {(i, j): sum(p != q and "N" not in (p, q) for p, q in zip(a, b)) for i, a in enumerate(seqs) for j, b in enumerate(seqs) if i < j and len(a) == len(b)}
+        want = {(*k, x) for k, x in dist.items() if x <= most}
+        got = [tuple(r) for r in G.hamming_neighbours(rows, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert 0 < len(want) and (most == 10 or len(want) < len(dist))
