@@ -213,3 +213,14 @@ def test_neighbours_agree_through_n_and_may_be_short(spark):
         got = [tuple(r) for r in G.hamming_neighbours(rows, most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert 0 < len(want) and (most == 10 or len(want) < len(dist))
+
+
+def test_noise_is_calibrated_on_all_subjects_and_taxa(spark, deliver, monkeypatch):
+    """Only subjects of ten samples or more and the few steadily abundant taxa of theirs were taken."""
+    from strandline.plans import report_queries as RQ
+
+    seen = []
+    monkeypatch.setattr(RQ, "calibrate_noise", lambda spark, reads, **kw: seen.extend(reads) or spark.createDataFrame([(0, "a0", 60, 1.0)], "chain bigint, var string, gibbs bigint, value double"))
+    d = deliver(taxa=[(f"T{i}", "ACGT", None) for i in range(4)], counts=[("T0", "A-1", 900), ("T1", "A-1", 1), ("T1", "A-3", 5), ("T3", "B-1", 2), ("T2", "B-2", 7)])
+    run(spark, "b16_calibrate_study", d).collect()
+    assert [r.tolist() for r in seen] == [[[900, 1], [0, 5]], [[0, 2], [7, 0]]]
