@@ -374,3 +374,34 @@ def test_a_chain_holds_one_array_of_taxa_times_samples():
     from strandline.inference.data import MAX_CELLS
 
     assert 261 * 117_240 <= MAX_CELLS
+
+
+def test_trajectories_of_any_number_of_cells(spark, monkeypatch):
+    """A study of more than MAX_CELLS cells was refused."""
+    from strandline.inference import data
+    from strandline.operators.study import Study
+
+    samples = [(f"A-{k}", "A", float(k), k) for k in range(4)]
+    reads = [(f"A-{k}", n, 5 + k * i) for k in range(4) for i, n in enumerate("XYZ")]
+    s = Study(
+        spark.createDataFrame([(i, n) for i, n in enumerate("XYZ")], "idx int, name string"),
+        spark.createDataFrame(samples, "sample_id string, subject string, time double, tidx int"),
+        spark.createDataFrame(reads, "sample_id string, taxon string, count bigint"),
+        spark.createDataFrame([("A-0", 8.0), ("A-2", 9.0)], "sample_id string, density double"),
+        spark.createDataFrame([], "name string, pidx int, subject string, start double, end double"),
+    )
+    cfg = Config(burnin=4, n_samples=8)
+    runs = {}
+    for cells, held in ((100, 100), (5, 100), (5, 5)):
+        monkeypatch.setattr(data, "MAX_CELLS", cells)
+        monkeypatch.setattr(data, "MAX_HELD", held)
+        c = Chain(data.observe(s), cfg, 0)
+        for _ in range(3):
+            c.one_sweep()
+        assert c.lx.dtype == (np.float64 if cells == 100 else np.float32) and isinstance(c.lx, np.memmap) == (held == 5)
+        again = Chain.resume(c.obs, cfg, 0, c.save())
+        c.one_sweep(), again.one_sweep()
+        assert np.array_equal(c.lx, again.lx) and np.array_equal(c.a1, again.a1)
+        runs[cells, held] = c
+    a, b, c = runs.values()
+    assert np.array_equal(b.lx, c.lx) and np.allclose(a.lx, b.lx, atol=1e-3) and np.allclose(a.a1, b.a1, rtol=1e-2)
