@@ -224,3 +224,17 @@ def test_noise_is_calibrated_on_all_subjects_and_taxa(spark, deliver, monkeypatc
     d = deliver(taxa=[(f"T{i}", "ACGT", None) for i in range(4)], counts=[("T0", "A-1", 900), ("T1", "A-1", 1), ("T1", "A-3", 5), ("T3", "B-1", 2), ("T2", "B-2", 7)])
     run(spark, "b16_calibrate_study", d).collect()
     assert [r.tolist() for r in seen] == [[[900, 1], [0, 5]], [[0, 2], [7, 0]]]
+
+
+def test_spearman_shuffles_no_taxon_for_every_block(spark, deliver):
+    """The moments of a block of taxa were shuffled once for each other block: quadratic, and full disks at size."""
+    from strandline.operators.design import sparse_spearman
+    from strandline.operators.study import Study
+
+    d = deliver(taxa=[(f"T{i}", "ACGT", None) for i in range(9)], counts=[(f"T{i}", k, (i * j + 1) % 4) for i in range(8) for j, k in enumerate(SAMPLES)])
+    s = Study.load(spark, d)
+    got = sparse_spearman(s, s.taxa.selectExpr("idx as taxon_idx"), 2)
+    assert got.count() == 36
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("FlatMapCoGroups") :].split("\n", 1)[1]
+    assert "s1" not in left and "xy" in left and "sum(" not in left[: left.index("posexplode")]
